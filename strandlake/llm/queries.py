@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, line_dedup
-from strandlake.llm.common import table
+from strandlake.llm import chat_format, line_dedup, packing, token_files, word_bpe
+from strandlake.llm.common import shared_path, table
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return word_bpe.encode(docs, vocabulary("word_bpe_49k.json"), lexicon_words=65_536, digests=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +26,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = shared_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), to, end_id=2, sample_docs=512)
+    return token_files.read(spark, to)
+
+
 #: Two adjacent turns whose text has the template's own marks.
 MARKS = r"\### Assistant: </turn> ok"
 
@@ -34,6 +52,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
