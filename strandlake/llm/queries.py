@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, line_dedup, packing, token_files, word_bpe
+from strandlake.llm import chat_format, line_dedup, near_dedup, packing, token_files, word_bpe
 from strandlake.llm.common import shared_path, table
 
 
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), percent=85, size=5)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = shared_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), to, end_id=2, sample_docs=512)
@@ -75,6 +79,18 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
             from marked group by doc_id""",
+        "op4_minhash_near_dedup": r"""
+            with recursive w as (
+                select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
+            s as (
+                select distinct doc_id, unnest(case when len(a) = 0 then [] when len(a) < 5 then [array_to_string(a, ' ')]
+                    else list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i : i + 4], ' ')) end) as sh from w),
+            n as (select doc_id, count(*) as n from s group by doc_id),
+            shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+            links as (select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+            reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+            select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id, min(r.b) = d.doc_id as kept
+            from documents d join reach r on r.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
         "op7_chat_format": r"""
             with rows as (
                 select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
