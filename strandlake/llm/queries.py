@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, line_dedup, near_dedup, packing, token_files, word_bpe
+from strandlake.llm import chat_format, language_id, line_dedup, media, near_dedup, packing, token_files, word_bpe
 from strandlake.llm.common import shared_path, table
 
 
@@ -60,6 +60,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.with_header(media.store(table(spark, sf_dir, "documents"))))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(table(spark, sf_dir, "documents"), train_rows=4000)
+    return language_id.of_pages(table(spark, sf_dir, "pages"), model)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
