@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, language_id, line_dedup, media, near_dedup, packing, token_files, word_bpe
+from strandlake.llm import chat_format, language_id, line_dedup, lm_score, media, near_dedup, packing, token_files, word_bpe
 from strandlake.llm.common import shared_path, table
 
 
@@ -36,6 +36,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, to)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), max_states=65_536, common_words=200_000)
+
+
 #: Two adjacent turns whose text has the template's own marks.
 MARKS = r"\### Assistant: </turn> ok"
 
