@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, language_id, line_dedup, lm_score, media, near_dedup, packing, token_files, word_bpe
+from strandlake.llm import ann, chat_format, language_id, line_dedup, lm_score, media, near_dedup, packing, token_files, word_bpe
 from strandlake.llm.common import shared_path, table
 
 
@@ -16,6 +16,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10, shortlist=100, train_rows=8192)
+
+
 def op2_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return word_bpe.encode(docs, vocabulary("word_bpe_49k.json"), lexicon_words=65_536, digests=True)
