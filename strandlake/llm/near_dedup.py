@@ -150,3 +150,18 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     joined = rows.select("doc_id", "n_shingles", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("copy")).alias("copy")).join(roots, "copy", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for those in a group of another, smaller doc_id; of rows that share doc_id and text, one.
+
+    The doc_ids that go are sent to all executors up to SENT_IDS of them, else joined by a shuffle. Documents without words
+    are no duplicates of anything and stay, as do rows with a null doc_id.
+    """
+    found = cut(groups(docs, percent, size))
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    if gone.count() <= SENT_IDS:
+        gone = F.broadcast(gone)
+    rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rest.where("doc_id is null").unionAll(rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"])) if repeated else rest
