@@ -44,6 +44,8 @@ class ArrayBPE:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, which is one pre-token."""
         out: list[bytes] = [b""] * len(words)
+        if not words:
+            return out
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(sizes, kind="stable")
         ends = np.flatnonzero(np.diff(sizes[order], append=-1)) + 1
