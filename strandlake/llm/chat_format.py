@@ -39,6 +39,19 @@ def unescape(text, escapes=ESCAPES):
     return F.array_join(pieces, "\\")
 
 
+def running(sizes: str, start: str, block: int = 256) -> str:
+    """SQL for the sums of an array before each of its elements, from ``start`` on.
+
+    Sums are appended block by block, so that time doesn't grow with the square of the array.
+    """
+    blocks = f"transform(sequence(0, (size({sizes}) - 1) div {block}), b -> slice({sizes}, cast(b * {block} as int) + 1, {block}))"
+    append = "named_struct('to', {a}.to + {step}, 'out', array_append({a}.out, {a}.to))"
+    starts = f"""aggregate(transform({blocks}, x -> aggregate(x, 0L, (t, n) -> t + n)), named_struct('to', cast({start} as bigint), 'out', cast(array() as array<bigint>)),
+        (u, m) -> {append.format(a="u", step="m")}, u -> u.out)"""
+    inner = f"""aggregate(g, named_struct('to', h, 'out', cast(array() as array<bigint>)), (v, n) -> {append.format(a="v", step="n")}, v -> v.out)"""
+    return f"flatten(zip_with({blocks}, {starts}, (g, h) -> {inner}))"
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask array<struct<start,end>>) for each conversation."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -55,15 +68,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     sizes = F.transform("s", lambda x: F.char_length(x["head"]) + F.char_length(x["body"]) + len(END))
     placed = shaped.select("conv_id", "s", text.alias("formatted"), sizes.alias("sizes"))
-    # Running offsets of segments, then of the parts inside each assistant segment; aggregate() keeps one array at a time.
-    offsets = F.expr("aggregate(sizes, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (a, n) -> named_struct('at', a.at + n, 'out', array_append(a.out, a.at)), a -> a.out)")
     spans = F.expr(
         f"""flatten(transform(filter(arrays_zip(s, at), z -> z.s.role = 'assistant'), z ->
-            aggregate(z.s.parts, named_struct('at', z.at + char_length(z.s.head), 'out', cast(array() as array<struct<start:bigint,end:bigint>>)),
-                (a, p) -> named_struct('at', a.at + char_length(p) + {len(PART)}, 'out', array_append(a.out, named_struct('start', a.at, 'end', a.at + char_length(p)))),
-                a -> a.out)))"""
+            zip_with(z.s.parts, {running(f"transform(z.s.parts, p -> char_length(p) + {len(PART)})", "z.at + char_length(z.s.head)")},
+                (y, o) -> named_struct('start', o, 'end', o + char_length(y)))))"""
     )
-    return placed.withColumn("at", offsets).select("conv_id", "formatted", spans.alias("loss_mask"))
+    return placed.withColumn("at", F.expr(running("sizes", "0L"))).select("conv_id", "formatted", spans.alias("loss_mask"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
