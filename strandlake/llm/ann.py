@@ -3,8 +3,8 @@
 Vectors are cut into parts of ``width`` coordinates; each part is coded in four bits. Codebooks and codes minimise the score-aware
 loss of a vector x with residual r: |r|^2 + (eta - 1) (r . x/|x|)^2. For scores q . x above a share ``threshold`` of their
 norms the residual's part along x costs eta = (d - 1) t^2 / (1 - t^2) times one across it. Codebooks are fitted on a
-bounded sample (``train_rows`` of smallest hash); every vector is coded. A second stage codes what the first one leaves in
-the same way, so that the members of a dense cluster, whose first codes are alike, still differ.
+bounded sample (``train_rows`` of smallest hash); every vector is coded. Two more stages code what
+those before leave in the same way, so that the members of a dense cluster, whose first codes are alike, still differ.
 
 A search scans codes by a table of 16 inner products for each query and part. Smallest Euclidean distance is largest
 2 q . x - |x|^2, so the exact norm, kept beside the codes, makes the inner product the only estimate. Queries and vectors
@@ -38,7 +38,7 @@ QUERIES = 16_384
 class Quantiser:
     """``stages`` codebooks of shape (parts, 16, width), each for what those before leave."""
 
-    def __init__(self, sample: np.ndarray, width: int = 1, stages: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 5):
+    def __init__(self, sample: np.ndarray, width: int = 1, stages: int = 3, threshold: float = 0.2, rounds: int = 8, seed: int = 5):
         self.dim, self.width, self.stages = sample.shape[1], width, []
         self.eta = max(1.0, (self.dim - 1) * threshold**2 / (1 - threshold**2))
         x, unit = self.parts(sample), self.parts(sample / np.linalg.norm(sample, axis=1, keepdims=True))
