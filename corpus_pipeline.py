@@ -16,7 +16,7 @@ from strandlake.llm.queries import vocabulary
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a language that evidence favours go."""
-    return language_id.accepted(docs, language_id.fit(docs, train_rows=4000), least=0.5)
+    return language_id.accepted(docs, language_id.fit(docs, train_rows=4000), least=0.34)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     return identify(rows, model, markup=True).withColumnRenamed("id", "page_id")
 
 
-def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.34) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) with letters and a language of posterior ``least`` or more.
 
     ``source`` stands for the host. Rejected are the doc_ids of which a row fails; a row with a null doc_id stays.
