@@ -28,7 +28,7 @@ def long_pieces(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
         step = 1 << i
         cuts = runs.where(F.col("n") > step).join(powers[i], "rank")
         right = cuts.select("record_no", "tok_no", (F.col("part") + step).alias("part"), F.col("to").alias("rank"), (F.col("n") - step).alias("n"))
-        runs = runs.withColumn("n", F.least("n", F.lit(step))).unionAll(right)
+        runs = materialised(runs.withColumn("n", F.least("n", F.lit(step))).unionAll(right))  # else each round would double the plan
     return runs.drop("n")
 
 
