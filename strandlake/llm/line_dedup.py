@@ -44,8 +44,10 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = occurrences(docs, min_chars).repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     # A document's occurrences of a key are adjacent in the run; one row of them stands for the document.
-    per_doc = run.groupBy("h1", "h2", "doc").agg(F.count("*").alias("n"))
-    keys = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
+    # Both uses of the run need all its columns, so that Spark plans one exchange for them.
+    first = F.min(F.struct("doc", "pos", "ver")).alias("first")
+    per_doc = run.groupBy("h1", "h2", "doc").agg(first)
+    keys = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("first").alias("last")).where(F.col("docs") >= min_docs).select("h1", "h2", F.col("last.doc").alias("keeper"))
     dropped = run.join(keys, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     masks = dropped.select("doc", "ver", F.shiftright("pos", 5).alias("word"), F.expr("shiftleft(1L, pos & 31)").alias("bit")).groupBy("doc", "ver", "word").agg(F.bit_or("bit").alias("mask"))
     return masks.groupBy(F.col("doc").alias("doc_id"), "ver").agg(F.sum(F.bit_count("mask")).alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("drops"))
