@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import suffix_tree
 from strandlake.llm.common import cut
-from strandlake.llm.memo_bpe import batches
+from strandlake.llm.memo_bpe import text_runs
 from strandlake.llm.shingles import words
 
 #: Bytes of text whose grams are sorted at once.
@@ -101,18 +102,24 @@ def train(docs: DataFrame, max_states: int = 65_536) -> suffix_tree.SuffixTree:
             yield pa.record_batch([pa.array(x[a : a + 200_000], pa.int64()) for x in total], names=["gram", "n"])
 
     grams = cut(docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = None
-    for d in range(suffix_tree.DEPTH + 1):
-        context = F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1)
-        level = grams.select(F.lit(d).alias("depth"), context.alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n")
-        level = level.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
-        levels = level if levels is None else levels.unionAll(level)
-    contexts = levels.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.collect_list("symbol").alias("symbols"), F.collect_list("n").alias("counts"))
-    got = contexts.orderBy(F.desc("total"), "depth", "context").limit(max_states).select("depth", "context", "symbols", "counts").toArrow().combine_chunks()
-    symbols, counts = (got.column(c).combine_chunks() if isinstance(got.column(c), pa.ChunkedArray) else got.column(c) for c in ("symbols", "counts"))
-    symbols, counts = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (symbols, counts))
-    starts = np.concatenate([[0], np.cumsum(symbols.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return suffix_tree.SuffixTree(got.column("depth").to_numpy(), got.column("context").to_numpy(), starts, symbols.flatten().to_numpy(), counts.flatten().to_numpy())
+    levels, finer = [], grams.select(F.col("gram").alias("key"), "n")
+    for d in range(suffix_tree.DEPTH, -1, -1):  # each depth from the one below; the deepest one's keys are distinct as they are
+        if d < suffix_tree.DEPTH:
+            finer = finer.groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        if d == suffix_tree.DEPTH - 1:
+            finer = cut(finer)
+        levels.append(finer.select(F.lit(d).alias("depth"), F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n"))
+    entries = levels[0]
+    for level in levels[1:]:
+        entries = entries.unionAll(level)
+    totals = entries.groupBy("depth", "context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "depth", "context").limit(max_states)
+    # At most max_states contexts; their entries are what the driver gets.
+    found = entries.join(F.broadcast(totals.select("depth", "context")), ["depth", "context"]).toArrow()
+    depth, context, symbol, count = (found.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
+    order = np.lexsort((symbol, context, depth))
+    depth, context, symbol, count = (x[order] for x in (depth, context, symbol, count))
+    starts = np.flatnonzero(np.r_[True, (depth[1:] != depth[:-1]) | (context[1:] != context[:-1])]) if len(depth) else np.empty(0, dtype=np.int64)
+    return suffix_tree.SuffixTree(depth[starts], context[starts], np.r_[starts, len(depth)], symbol, count)
 
 
 def score(docs: DataFrame, max_states: int = 65_536, common_words: int = 200_000) -> DataFrame:
@@ -130,15 +137,15 @@ def score(docs: DataFrame, max_states: int = 65_536, common_words: int = 200_000
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, get, row = tree.value, table.value.get, TaskContext.get().partitionId() << 40
         for batch in rows:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                tokens = [words(t) for t in texts[a:b]]
+            ids = batch.column(0).to_pylist()
+            for a, texts in text_runs(batch.column(1), 4_000_000):
+                tokens = [words(t) for t in texts]
                 logs, at = model.token_logs(tokens), 0
                 out: list = [[] for _ in types]
-                for doc_id, mine in zip(ids[a:b], tokens, strict=True):
+                for doc_id, mine in zip(ids[a : a + len(texts)], tokens, strict=True):
                     own = logs[at : at + len(mine) + 1]
                     at += len(mine) + 1
-                    c = np.fromiter((get(w, -1) for w in mine), dtype=np.float64, count=len(mine))
+                    c = np.fromiter(map(get, mine, repeat(-1)), dtype=np.float64, count=len(mine))
                     c = np.append(c, ends)
                     sent = c >= 0
                     unigram = (c[sent] + 1) / (n + v + 1)

@@ -85,25 +85,25 @@ class SuffixTree:
             tables.append(table)
         if not len(known[0]):
             tables[0], dists[0] = np.zeros((1, self.width), dtype=np.int64), np.full((1, self.width), 1 / 256)
-        self.next = np.concatenate(tables).astype(np.int32)
+        self.next = (np.concatenate(tables) * self.width).astype(np.int32)  # where the next state's row starts
         self.logs = np.log10(np.concatenate(dists)).astype(np.float32)
 
     def token_logs(self, tokens: list[list[str]]) -> np.ndarray:
         """log10 probabilities of all tokens of the texts, each word with its space, each text's end behind its words."""
         data, ends = joined(tokens)
-        symbols = self.column[data]
+        symbols = self.column.astype(np.int32)[data]
         length = -(-len(symbols) // LANES)
-        padded = np.full(DEPTH + LANES * length, self.column[END], dtype=np.int64)
+        padded = np.full(DEPTH + LANES * length, self.column[END], dtype=np.int32)
         padded[DEPTH : DEPTH + len(symbols)] = symbols
         # Each lane first reads the DEPTH bytes before it: no state depends on more.
         lanes = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + length)[::length][:LANES].T.copy()
-        state, out = np.zeros(LANES, dtype=np.int64), np.empty((length, LANES), dtype=np.float32)
+        row, at, out = np.zeros(LANES, dtype=np.int32), np.empty(LANES, dtype=np.int32), np.empty((length, LANES), dtype=np.float32)
         steps, logs = self.next.ravel(), self.logs.ravel()
         for k in range(DEPTH + length):
-            at = state * self.width + lanes[k]
+            np.add(row, lanes[k], out=at)
             if k >= DEPTH:
-                np.take(logs, at, out=out[k - DEPTH])
-            state = steps[at].astype(np.int64)
+                np.take(logs, at, out=out[k - DEPTH], mode="clip")
+            np.take(steps, at, out=row, mode="clip")
         real = np.ones(len(symbols), dtype=bool)
         for k in range(DEPTH):
             real[np.r_[0, ends[:-1]] + k] = False
