@@ -15,11 +15,13 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from strandlake.llm.array_bpe import ArrayBPE
 
 #: Pieces in each of the two generations of the memo; some 200 bytes each.
-MEMO = 400_000
+MEMO = 250_000
 #: Of the merged pieces, one in so many is held against the library.
 CHECKED = 64
 #: Letters that neither normalisation nor case rules tie to their neighbours, then punctuation that isn't an apostrophe.
@@ -124,13 +126,11 @@ def byte_bpe(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def batches(texts: list, chars: int = 4_000_000):
-    """(start, stop) of runs of texts of bounded size, so that one Arrow batch isn't cut up all at once."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_runs(column: pa.Array, most: int = 2_000_000):
+    """(start, texts) of runs of an Arrow column of about ``most`` bytes, one text at least; a batch isn't unpacked at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop

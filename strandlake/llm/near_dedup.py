@@ -33,8 +33,10 @@ from strandlake.llm.components import components
 from strandlake.llm.shingles import CirculantMinHash, WordHashes, bands_of, shingle_set, words
 
 BANDS, ROWS = 38, 5
-#: Members of a block of a family; two blocks with their sets are one task's input.
-BLOCK = 2048
+#: Members of a block of a family, and bytes of their sets; two blocks are one task's input.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Postings that are counted at once.
+POSTINGS = 4_000_000
 #: Up to so many members of families, 8 bytes each, are sent to all executors; more are joined by a shuffle.
 SENT_IDS = 500_000
 
@@ -100,9 +102,16 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     out = []
     for i in left.tolist():
         mine = coded[i][counts[coded[i]] > 1]
-        a, n = starts[mine], starts[mine + 1] - starts[mine]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(postings[at], minlength=len(right))
+        first, n = starts[mine], starts[mine + 1] - starts[mine]
+        shared = np.zeros(len(right), dtype=np.int64)
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(mine):  # as many of its shingles at a time as have POSTINGS postings, one at least
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, side="right")))
+            part = n[a:b]
+            at = np.repeat(first[a:b] - np.cumsum(part) + part, part) + np.arange(part.sum())
+            shared += np.bincount(postings[at], minlength=len(right))
+            a = b
         for j in right[100 * shared >= percent * (sizes[i] + sizes[right] - shared)].tolist():
             if (p := root(i)) != (q := root(j)):
                 parent[max(p, q)] = min(p, q)
@@ -112,7 +121,8 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
 
 def family_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what is connected in each family; members: (node, family, shingles)."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES))
+    sizes = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
     placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each member goes to the tasks of its block with every block; a pair of blocks is one task, in one order.
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import cut
-from strandlake.llm.memo_bpe import batches, byte_bpe, packed
+from strandlake.llm.memo_bpe import byte_bpe, packed, text_runs
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("size", pa.int64()), ("final", pa.bool_()), ("members", pa.list_(MEMBER))])
@@ -86,9 +86,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     def local(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, items = byte_bpe(tokenizer), []
         for batch in rows:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                for doc_id, coded in zip(ids[a:b], bpe.encode_batch(texts[a:b]), strict=True):
+            ids = batch.column(0).to_pylist()
+            for a, texts in text_runs(batch.column(1)):
+                for doc_id, coded in zip(ids[a : a + len(texts)], bpe.encode_batch(texts), strict=True):
                     items += [(p["length"], [p]) for p in pieces(doc_id, coded + packed([end_id]), capacity)]
         yield from packed_round(items, capacity, full, carried, False)
 

@@ -31,7 +31,7 @@ class WordHashes(dict):
     """64-bit hashes of words, bounded: the table starts anew once it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.memo_bpe import batches, byte_bpe, packed
+from strandlake.llm.memo_bpe import byte_bpe, packed, text_runs
 
 BLOCKS = "part int, before long, block_tokens long, dictionary string, doc_ids array<bigint>, offsets array<int>, n_tokens array<int>, frames binary"
 DICTIONARY_BYTES, LEVEL = 65_536, 3
@@ -66,13 +66,13 @@ def write(docs: DataFrame, tokenizer: str, to: str, end_id: int = 2, sample_docs
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_dict_id=False)
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                coded = [c + packed([end_id]) for c in bpe.encode_batch(texts[a:b])]
+            ids = batch.column(0)
+            for a, texts in text_runs(batch.column(1)):
+                coded = [c + packed([end_id]) for c in bpe.encode_batch(texts)]
                 frames = [pack.compress(narrow(c, kind)) for c in coded]
                 tokens = [len(c) // 4 for c in coded]
                 offsets = np.cumsum([0, *map(len, frames)])
-                columns = [[part], [before], [sum(tokens)], [name], [ids.slice(a, b - a).to_pylist()], [offsets], [tokens], [b"".join(frames)]]
+                columns = [[part], [before], [sum(tokens)], [name], [ids.slice(a, len(texts)).to_pylist()], [offsets], [tokens], [b"".join(frames)]]
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
                 before += sum(tokens)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import lexicon
-from strandlake.llm.memo_bpe import PLAIN, PieceBPE, batches
+from strandlake.llm.memo_bpe import PLAIN, PieceBPE, text_runs
 
 #: Longer words are merged; bounds the lexicon's size together with the number of words.
 MAX_WORD = 64
@@ -79,8 +79,8 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
             return pa.record_batch({"word": pa.array(list(merged), pa.string()), "n": pa.array(list(merged.values()), pa.int64())})
 
         for batch in rows:
-            for text in batch.column(0).to_pylist():
-                if text:
+            for value in batch.column(0):
+                if text := value.as_py():
                     total.update(text.replace("\n", " ").split(" "))
                 if len(total) > 500_000:
                     yield flush()
@@ -122,11 +122,11 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 65_536, with_ids: bo
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path, key, shared)
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                coded = bpe.encode_batch(texts[a:b])
+            ids = batch.column(0)
+            for a, texts in text_runs(batch.column(1)):
+                coded = bpe.encode_batch(texts)
                 decoded = [bpe.decode(c) for c in coded]
-                out = {"doc_id": ids.slice(a, b - a), "n_tokens": [len(c) // 4 for c in coded]}
+                out = {"doc_id": ids.slice(a, len(texts)), "n_tokens": [len(c) // 4 for c in coded]}
                 if with_ids:
                     out |= {"ids": [np.frombuffer(c, dtype="<i4") for c in coded], "decoded": [d.decode() for d in decoded]}
                 if digests:
