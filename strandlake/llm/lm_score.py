@@ -1,9 +1,12 @@
 """Language-model scores of documents from a probabilistic suffix tree, with a smoothed unigram score beside them.
 
-Training documents are those whose crc32(doc_id as text) mod 7 is not 2; each one's grams of DEPTH + 1 bytes are counted in
-its task, summed over all tasks, and reduced to the counts of all shorter contexts by aggregation. Only the ``max_states``
-contexts of highest count reach the driver, which tests them and builds the automaton (``suffix_tree``); its size, and so
-the broadcast's, is bounded by that parameter.
+Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Documents are dealt into pieces of PIECE_BYTES of
+text. Each piece's distinct grams of DEPTH + 1 bytes leave its task with their training counts; their sums over all pieces
+are dealt out by the last two bytes of their context, so that all longer contexts with that suffix are in one group.
+Every context seen ``LEAST`` times or more is tested against its suffix, from the root down (the rule is ``suffix_tree``'s);
+grams without a training count take part, so that the deepest level has a probability for every gram of every document. A
+join takes those back to the pieces that hold the gram. Nothing is cut to a number of contexts; the driver gets the first
+two levels' counts, of 65,536 pairs of bytes at most, and a piece its own grams' probabilities.
 
 A token's probability is ``1 - UNIGRAM`` times the tree's and UNIGRAM times the smoothed unigram probability. Both are over
 the known tokens and one class of all unknown ones, of whose probability under the tree the one word's is a part; so a
@@ -26,19 +29,25 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import suffix_tree
-from strandlake.llm.common import cut
+from strandlake.llm.common import cut, shared_path
 from strandlake.llm.memo_bpe import text_runs
 from strandlake.llm.shingles import words
 
 #: Bytes of text whose grams are sorted at once.
 SORTED_BYTES = 8_000_000
+#: Bytes of text, one document at least, that are scored against one table of grams.
+PIECE_BYTES = 64_000_000
+#: A context seen less often says nothing about its distribution and isn't tested.
+LEAST = 2
 #: The weight of the unigram distribution that the tree's is smoothed with.
 UNIGRAM = 0.3
 
@@ -81,68 +90,142 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_states: int = 65_536) -> suffix_tree.SuffixTree:
+def pieces(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with (row, piece), stored: both numbers are fixed from here on."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        pending, size = [], 0
+        row = piece = TaskContext.get().partitionId() << 40
+        size = 0
+        for batch in rows:
+            numbers = []
+            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+                if size and size + n > PIECE_BYTES:
+                    piece, size = piece + 1, 0
+                size += n + 1
+                numbers.append(piece)
+            yield pa.record_batch([pa.array(np.arange(row, row + len(batch))), pa.array(numbers, pa.int64()), *batch.columns], names=["row", "piece", "doc_id", "text"])
+            row += len(batch)
+
+    return stored(docs.mapInArrow(run, "row long, piece long, doc_id long, text string"), "pieces")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder, for what is too large for ``cut``."""
+    to = shared_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.parquet(to)
+
+
+def piece_grams(dealt: DataFrame) -> DataFrame:
+    """(piece, gram, n): the grams of each piece and their counts in its training documents, 0 for those of others only.
+
+    A piece that several tasks read has rows from each.
+    """
+    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, piece, size = none, None, 0
+        pending: dict[bool, list] = {False: [], True: []}
 
         def counted():
-            return suffix_tree.merged(total, suffix_tree.grams(*suffix_tree.joined(pending)))
+            out = total
+            for held, texts in pending.items():
+                if texts:
+                    found, n = suffix_tree.grams(*suffix_tree.joined(texts))
+                    out = suffix_tree.merged(out, (found, np.zeros_like(n) if held else n))
+                    texts.clear()
+            return out
+
+        def batches():
+            for a in range(0, len(total[0]), 200_000):
+                gram, n = (pa.array(x[a : a + 200_000], pa.int64()) for x in total)
+                yield pa.record_batch([pa.array(np.full(len(gram), piece), pa.int64()), gram, n], names=["piece", "gram", "n"])
 
         for batch in rows:
-            for text in training(batch):
-                pending.append(words(text))
+            numbers, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for number, doc_id, text in zip(numbers, ids, batch.column(2), strict=True):
+                if number != piece or size >= SORTED_BYTES:
+                    total, size = counted(), 0
+                if number != piece:
+                    yield from batches()
+                    total, piece = none, number
+                text = text.as_py()
+                pending[held_out(doc_id)].append(words(text))
                 size += len(text or "")
-                if size >= SORTED_BYTES:
-                    total = counted()
-                    pending, size = [], 0
-        if pending:
-            total = counted()
-        for a in range(0, len(total[0]), 200_000):
-            yield pa.record_batch([pa.array(x[a : a + 200_000], pa.int64()) for x in total], names=["gram", "n"])
-
-    grams = cut(docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels, finer = [], grams.select(F.col("gram").alias("key"), "n")
-    for d in range(suffix_tree.DEPTH, -1, -1):  # each depth from the one below; the deepest one's keys are distinct as they are
-        if d < suffix_tree.DEPTH:
-            finer = finer.groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        if d == suffix_tree.DEPTH - 1:
-            finer = cut(finer)
-        levels.append(finer.select(F.lit(d).alias("depth"), F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n"))
-    entries = levels[0]
-    for level in levels[1:]:
-        entries = entries.unionAll(level)
-    totals = entries.groupBy("depth", "context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "depth", "context").limit(max_states)
-    # At most max_states contexts; their entries are what the driver gets.
-    found = entries.join(F.broadcast(totals.select("depth", "context")), ["depth", "context"]).toArrow()
-    depth, context, symbol, count = (found.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
-    order = np.lexsort((symbol, context, depth))
-    depth, context, symbol, count = (x[order] for x in (depth, context, symbol, count))
-    starts = np.flatnonzero(np.r_[True, (depth[1:] != depth[:-1]) | (context[1:] != context[:-1])]) if len(depth) else np.empty(0, dtype=np.int64)
-    return suffix_tree.SuffixTree(depth[starts], context[starts], np.r_[starts, len(depth)], symbol, count)
-
-
-def score(docs: DataFrame, max_states: int = 65_536, common_words: int = 200_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = cut(word_counts(docs))
+        total = counted()
+        yield from batches()
+
+    return dealt.select("piece", "doc_id", "text").mapInArrow(run, "piece long, gram long, n long")
+
+
+def tested(key: np.ndarray, n: np.ndarray, p: np.ndarray, depths: range) -> np.ndarray:
+    """The probabilities of distinct sorted keys of the last of ``depths``, from their counts and those of the depth before the first.
+
+    All keys with the same last bytes, as many as a context of the first depth has, are here.
+    """
+    for d in depths:
+        own, first, at = np.unique(key & ((1 << 8 * (d + 1)) - 1), return_index=True, return_inverse=True)
+        count, parent = np.bincount(at, weights=n), p[first]
+        starts = np.flatnonzero(np.r_[True, np.diff(own >> 8) != 0])
+        sizes = np.diff(np.r_[starts, len(own)])
+        total, types = np.add.reduceat(count, starts), np.add.reduceat((count > 0).astype(float), starts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.add.reduceat(np.where(count > 0, count * np.log(count / np.repeat(total, sizes) / parent), 0), starts)
+        keep = (total > 0 if d == 0 else total >= LEAST) & ((gain >= 0.5 * types * np.log(np.maximum(total, 2))) | (d == 0))
+        smoothed = (count + np.repeat(types, sizes) * parent) / np.maximum(np.repeat(total + types, sizes), 1)
+        p = np.where(np.repeat(keep, sizes), smoothed, parent)[at]
+    return p
+
+
+def train(found: DataFrame) -> DataFrame:
+    """(gram, log): log10 P(last byte | bytes before) under the tree, of every gram in ``found`` (gram, n; grams are distinct)."""
+    pairs = found.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    pair, count = (pairs.column(c).to_numpy() for c in ("pair", "n"))  # 65,536 at most
+    types = len(np.unique(pair[count > 0] & 255))
+    uniform = 1 / (types + 1) if types else 1 / 256  # the one more is for all bytes that training didn't have
+    root = tested(pair, count, np.full(len(pair), uniform), range(2)) if len(pair) else np.empty(0)
+
+    def run(rows: pa.Table) -> pa.Table:
+        gram, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        p = tested(gram, n, root[np.searchsorted(pair, gram & 0xFFFF)], range(2, suffix_tree.DEPTH + 1))
+        return pa.table({"gram": gram, "log": np.log10(p).astype(np.float32)})
+
+    # All contexts that end in the same two bytes are in one group, with their counts.
+    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    return found.select(suffix.alias("suffix"), "gram", "n").groupBy("suffix").applyInArrow(run, "gram long, log float")
+
+
+def score(docs: DataFrame, max_states: int | None = None, common_words: int = 200_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+
+    ``max_states`` was the number of contexts looked at; it is still taken, and limits nothing.
+    """
+    dealt = pieces(docs.select(F.col("doc_id").cast("long"), "text"))
+    counts = cut(word_counts(dealt.select("doc_id", "text")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = {r["word"]: r["n"] for r in counts.where("word != ''").orderBy(F.desc("n"), "word").limit(common_words).toLocalIterator()}
     ends = (counts.where("word = ''").first() or {"n": 0})["n"]
     sc = docs.sparkSession.sparkContext
-    tree, table = sc.broadcast(train(docs, max_states)), sc.broadcast(common)
+    table = sc.broadcast(common)
+    # Grouped without sums before the exchange, in which few rows of a task would meet: each gram with all its pieces.
+    found = stored(piece_grams(dealt).repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), F.collect_set("piece").alias("pieces")), "grams")
+    logs_of = found.select("gram", "pieces").join(train(found.select("gram", "n")), "gram").select(F.explode("pieces").alias("piece"), "gram", "log")
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<bigint>, rare_logs array<double>"
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, get, row = tree.value, table.value.get, TaskContext.get().partitionId() << 40
-        for batch in rows:
-            ids = batch.column(0).to_pylist()
-            for a, texts in text_runs(batch.column(1), 4_000_000):
+    def run(mine_rows: pa.Table, tree: pa.Table) -> pa.Table:
+        get, gram, log, done = table.value.get, pd.Index(tree.column("gram").to_numpy()), tree.column("log").to_numpy(), []
+        del tree
+        for batch in mine_rows.select(["row", "doc_id", "text"]).to_batches():
+            rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, texts in text_runs(batch.column(2), 1_000_000):
                 tokens = [words(t) for t in texts]
-                logs, at = model.token_logs(tokens), 0
+                key, read = suffix_tree.keys(*suffix_tree.joined(tokens))
+                logs, at = suffix_tree.token_sums(log[gram.get_indexer(key)].astype(np.float64), read), 0
                 out: list = [[] for _ in types]
-                for doc_id, mine in zip(ids[a : a + len(texts)], tokens, strict=True):
+                for row, doc_id, mine in zip(rows[a : a + len(texts)], ids[a : a + len(texts)], tokens, strict=True):
                     own = logs[at : at + len(mine) + 1]
                     at += len(mine) + 1
                     c = np.fromiter(map(get, mine, repeat(-1)), dtype=np.float64, count=len(mine))
@@ -154,10 +237,10 @@ def score(docs: DataFrame, max_states: int = 65_536, common_words: int = 200_000
                     known = int(sent.sum()) - (ends == 0)
                     for column, value in zip(out, (row, doc_id, held_out(doc_id), len(mine) + 1, known, float(np.log10(unigram).sum()), float(total), rare, own[~sent]), strict=True):
                         column.append(value)
-                    row += 1
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in ddl.split(", ")])
+                done.append(pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in ddl.split(", ")]))
+        return pa.Table.from_batches(done)
 
-    scored = cut(docs.mapInArrow(run, ddl))
+    scored = cut(dealt.groupBy("piece").cogroup(logs_of.groupBy("piece")).applyInArrow(run, ddl))
     rest = counts.where("word != ''").select("h", "n")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_logs")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.rare_logs").alias("log")).join(rest, "h", "left")
     unigram = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1))

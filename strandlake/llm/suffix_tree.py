@@ -1,12 +1,11 @@
-"""A probabilistic suffix tree over the bytes of words, as a table-driven automaton.
+"""A probabilistic suffix tree over the bytes of words: its grams, and a tree that fits memory as a table-driven automaton.
 
 A text is its words, each with a space behind, then a line feed as its end, in UTF-8; ``DEPTH`` line feeds stand before
-it as its start. A context is a run of up to DEPTH bytes. Contexts in order of their counts, as many as ``max_states``,
-are the tree's candidates; a candidate is retained if its next-byte distribution diverges from its longest proper suffix's
+it as its start. A context is a run of up to DEPTH bytes. Those that the caller gives are the tree's candidates; a candidate is retained if its next-byte distribution diverges from its longest proper suffix's
 by more than the test allows (log-likelihood gain of at least half a log of its count for each different next byte).
 Retained distributions are smoothed with their suffix's, in proportion to the number of different next bytes; others are
 their suffix's. All candidates are the automaton's states, so that the state after each byte is the longest candidate
-suffix of what was read.
+suffix of what was read. ``lm_score`` has the same tree as tables of any size.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ def joined(tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([len(p) for p in parts])
 
 
-def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of the DEPTH + 1 bytes up to each byte that isn't padding; the last byte is lowest."""
+def keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The DEPTH + 1 bytes up to each byte that isn't padding, the last byte lowest; and those bytes."""
     key = np.zeros(len(data), dtype=np.int64)
     for back in range(DEPTH, -1, -1):
         key <<= 8
@@ -38,7 +37,18 @@ def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     real = np.ones(len(data), dtype=bool)
     for k in range(DEPTH):
         real[np.r_[0, ends[:-1]] + k] = False
-    return np.unique(key[real], return_counts=True)
+    return key[real], data[real]
+
+
+def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the distinct ``keys``."""
+    return np.unique(keys(data, ends)[0], return_counts=True)
+
+
+def token_sums(logs: np.ndarray, read: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' ``logs`` by token, each word with its space, each text's end behind its words."""
+    behind = np.flatnonzero((read == SPACE) | (read == END)) + 1
+    return np.add.reduceat(logs, np.r_[0, behind[:-1]]) if len(behind) else np.empty(0)
 
 
 def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,5 +118,4 @@ class SuffixTree:
         for k in range(DEPTH):
             real[np.r_[0, ends[:-1]] + k] = False
         flat, read = out.T.ravel()[: len(symbols)][real].astype(np.float64), data[real]
-        behind = np.flatnonzero((read == SPACE) | (read == END)) + 1
-        return np.add.reduceat(flat, np.r_[0, behind[:-1]]) if len(behind) else np.empty(0)
+        return token_sums(flat, read)

@@ -210,3 +210,26 @@ def test_automaton_equals_longest_suffix_states():
                 want.append(sum(logs))
                 logs = []
     assert np.allclose(got, want, atol=1e-4)
+
+
+def test_scores_are_those_of_the_whole_tree(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "cab", "ü"]) if rng.random() < 0.9 else f"{rng.choice('xyz')}{rng.randint(0, 99)}" for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    held = [lm_score.held_out(i) for i, _ in rows]
+    docs = [words(t) for _, t in rows]
+    keys, n = suffix_tree.grams(*suffix_tree.joined([d for d, h in zip(docs, held) if not h]))
+    found = defaultdict(Counter)
+    for key, count in zip(keys.tolist(), n.tolist(), strict=True):
+        for d in range(suffix_tree.DEPTH + 1):
+            found[d, key >> 8 & (1 << 8 * d) - 1][key & 255] += count
+    chosen = [c for c in found if sum(found[c].values()) >= lm_score.LEAST]
+    starts = np.cumsum([0, *(len(found[c]) for c in chosen)])
+    tree = suffix_tree.SuffixTree(np.array([d for d, _ in chosen]), np.array([c for _, c in chosen]), starts, np.array([s for c in chosen for s in found[c]]), np.array([x for c in chosen for x in found[c].values()]))
+    counts = Counter(w for d, h in zip(docs, held) if not h for w in [*d, ""])
+    total = sum(counts.values()) + len(counts) + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, max_states=50, common_words=5).collect()}
+    for (i, _), d in zip(rows, docs):
+        logs = tree.token_logs([d])
+        want = sum(math.log10(lm_score.UNIGRAM * (counts[w] + 1) / total + (1 - lm_score.UNIGRAM) * 10**x) for w, x in zip([*d, ""], logs))
+        assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-4), i
