@@ -56,6 +56,23 @@ def unpack_2bit(spark, d):
     return reads(spark, d).select("record_no", S.unpack_2bit(S.pack_2bit(head), F.length(head)).alias("bases"))
 
 
+def chunks(spark, d):
+    """Whole reads in pieces of WORD_BASES; an empty read has none."""
+    return reads(spark, d).select("record_no", F.posexplode(S.rechunk(F.col("seq"))).alias("chunk", "bases"))
+
+
+def pack_2bit_whole(spark, d):
+    return chunks(spark, d).select("record_no", "chunk", S.pack_2bit(F.col("bases")).alias("word"))
+
+
+def unpack_2bit_whole(spark, d):
+    packed = chunks(spark, d).select("record_no", "chunk", S.pack_2bit(F.col("bases")).alias("word"), F.length("bases").alias("n"))
+    pieces = packed.select("record_no", F.struct("chunk", S.unpack_2bit(F.col("word"), F.col("n")).alias("bases")).alias("piece"))
+    joined = pieces.groupBy("record_no").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    whole = joined.select("record_no", F.array_join(F.transform("pieces", lambda x: x["bases"]), "").alias("bases"))
+    return whole.unionAll(reads(spark, d).where("seq = ''").select("record_no", F.col("seq").alias("bases")))
+
+
 def suffix_slice(spark, d):
     return read_kmers(spark, d).select("kmer", S.suffix(F.col("kmer"), F.lit(7)).alias("suffix"))
 
@@ -209,7 +226,7 @@ def random_nucleotide(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), base), "").alias("seq"))
 
 
-HELPERS = {"reads", "references", "nodes", "read_kmers", "parsed", "queries", "oracle_sql", "flagship", "table", "materialised"}
+HELPERS = {"reads", "references", "chunks", "nodes", "read_kmers", "parsed", "queries", "oracle_sql", "flagship", "table", "materialised"}
 
 
 def queries() -> dict:
@@ -261,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "seq_revcomp": WITH + "select record_no, translate(reverse(seq), 'ACGT', 'TGCA') as revcomp from reads",
         "pack_2bit": WITH + f"select record_no, {packed_sql('left(seq, 31)')} as word from reads",
         "unpack_2bit": WITH + "select record_no, left(seq, 31) as bases from reads",
+        "pack_2bit_whole": WITH + f", c as (select record_no, unnest(range(0, (length(seq) + 30) // 31)) as chunk, seq from reads) select record_no, chunk, {packed_sql('substr(seq, 31 * chunk + 1, 31)')} as word from c",
+        "unpack_2bit_whole": WITH + "select record_no, seq as bases from reads",
         "suffix_slice": WITH + "select kmer, right(kmer, 7) as suffix from rk",
         "input_union": WITH + "select length(seq) as bases, count(*) as n from refs group by 1",
         "kmer_distinct": WITH + "select kmer from kset",

@@ -36,3 +36,26 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(registry.queries()) - set(registry.oracle_sql()) == {"random_nucleotide"}
+
+
+def equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {t} as select * from '{TABLES}/{t}.parquet'")
+    df = registry.queries()[name](spark, TABLES)
+    want = con.sql(registry.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    rows = df.select(*want.columns).collect()
+    assert canonical(rows) == canonical(want.fetchall())
+    return rows
+
+
+@pytest.mark.parametrize("name", ["pack_2bit_whole", "unpack_2bit_whole"])
+def test_packing_covers_whole_reads(spark, name):
+    rows = equals_sql(spark, name)
+    lengths = [len(r["seq"]) for r in registry.reads(spark, TABLES).collect()]
+    assert max(lengths) > 31
+    if name == "pack_2bit_whole":
+        assert len(rows) == sum(-(-n // 31) for n in lengths)
+    else:
+        assert sum(len(r["bases"]) for r in rows) == sum(lengths)
