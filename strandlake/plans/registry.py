@@ -114,6 +114,10 @@ def suffix_interval(spark, d):
     return match.intervals(nodes(spark, d), 9, 12).select(F.reverse("reversed").alias("suffix"), "lo", "hi")
 
 
+def suffix_interval_all(spark, d):
+    return match.intervals(nodes(spark, d), 1, K).select(F.reverse("reversed").alias("suffix"), "lo", "hi")
+
+
 def in_degree(spark, d):
     return index.predecessors(nodes(spark, d), K).select("rank", "indeg")
 
@@ -290,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
         "kmer_miss": WITH + "select kmer from rk where kmer not in (select kmer from kset)",
         "access_kmer": WITH + "select rank, kmer from idx where not is_dummy",
         "suffix_interval": WITH + "select reverse(r) as suffix, lo, hi from iv where length(r) between 9 and 12",
+        "suffix_interval_all": WITH + "select reverse(r) as suffix, lo, hi from iv",
         "in_degree": WITH + "select rank, indeg from prec",
         "unique_pred": WITH + "select rank, p as pred from prec where indeg = 1",
         "left_extend": WITH + f", hop(rank, here, n) as (select rank, p, 1 from prec where indeg = 1 union all select h.rank, p.p, h.n + 1 from hop h join prec p on p.rank = h.here and p.indeg = 1 where h.n < {K}) select rank, here as \"to\" from hop where n = {K}",

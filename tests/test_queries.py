@@ -59,3 +59,7 @@ def test_packing_covers_whole_reads(spark, name):
         assert len(rows) == sum(-(-n // 31) for n in lengths)
     else:
         assert sum(len(r["bases"]) for r in rows) == sum(lengths)
+
+
+def test_suffix_intervals_of_every_length(spark):
+    assert {len(r["suffix"]) for r in equals_sql(spark, "suffix_interval_all")} == set(range(1, registry.K + 1))
