@@ -8,6 +8,12 @@
 * Host: P(language | host), shrunk to its domain's, which is shrunk to that of all rows; each is a grouped sum of text
   posteriors, aggregated before it is shuffled, so that a host with a third of all rows is no hot spot.
 
+Text in none of the languages is told by the mean log likelihood of its trigrams under the mixture of all languages, trigram
+by trigram, so that documents of several languages have no less than others. The class it is held against, with a prior of
+``OTHER``, has the likelihood of a uniform one over the buckets, or of the lowest thousandth of the labelled rows, each under the
+tables without itself, if that is less. With fewer than ``LABELLED_ROWS`` of them, trigrams that they lack say nothing, and no
+text is told. Only ``accepted`` uses this.
+
 The posterior is the normalised product. Labels are what the training rows have; a row without a single letter trigram
 has no text evidence and is left to the rest.
 
@@ -33,6 +39,8 @@ BUCKETS = 1 << 16
 TEXT_WEIGHT = 30.0
 #: Pseudo-counts: of a domain's host, of all rows' domain, and of each value of a declaration or suffix.
 HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 10.0, 10.0, 1.0
+#: The prior of text in none of the languages, and the labelled rows from which it is told.
+OTHER, LABELLED_ROWS = 0.01, 100
 
 MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
@@ -52,20 +60,37 @@ def trigrams(text: str | None) -> np.ndarray:
     return (mixed >> np.uint64(48)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, train_rows: int = 4000) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from a bounded sample of labelled rows (doc_id, text, lang)."""
+def other_likelihood(rows: list[tuple[int, np.ndarray]], counts: np.ndarray) -> float:
+    """The mean log likelihood of text in no language, from the labelled rows (language, trigrams) and the sums of their trigrams."""
+    if len(rows) < LABELLED_ROWS:
+        return -np.inf
+    totals, found = counts.sum(axis=1) + 0.1 * BUCKETS, []
+    for k, grams in rows:
+        own, n = np.unique(grams, return_counts=True)
+        left, total = counts[:, own] + 0.1, totals.copy()
+        left[k] -= n
+        total[k] -= len(grams)
+        found.append((np.log((left / total[:, None]).mean(axis=0)) * n).sum() / len(grams))
+    return float(min(-np.log(BUCKETS), np.quantile(found, 0.001)))
+
+
+def fit(labelled: DataFrame, train_rows: int = 4000) -> tuple[list[str], np.ndarray, float]:
+    """(languages, log P(trigram | language), ``other_likelihood``) from a bounded sample of labelled rows (doc_id, text, lang)."""
     rows = labelled.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
     chosen = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()]
-    languages, counts = [], []
+    languages, counts, used = [], [], []
     if chosen:
         for text, lang in rows.where(F.col("doc_id").isin(chosen)).select("text", "lang").limit(train_rows).toLocalIterator():
             if lang not in languages:
                 languages.append(lang)
                 counts.append(np.zeros(BUCKETS))
-            counts[languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
+            grams = trigrams(text)
+            counts[languages.index(lang)] += np.bincount(grams, minlength=BUCKETS)
+            if len(grams):
+                used.append((languages.index(lang), grams.astype(np.uint16)))
     order = sorted(range(len(languages)), key=languages.__getitem__)
     table = np.array([counts[i] for i in order]).reshape(len(order), BUCKETS) + 0.1
-    return [languages[i] for i in order], np.log(table / table.sum(axis=1, keepdims=True))
+    return [languages[i] for i in order], np.log(table / table.sum(axis=1, keepdims=True)), other_likelihood(used, np.array(counts))
 
 
 def code(value):
@@ -79,21 +104,28 @@ def domain(host):
     return F.substring_index(host, ".", -2)
 
 
-def scored(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool) -> DataFrame:
-    """``rows`` (id, host, suffix, declared, text) with text_ll array<double> instead of the text; null without letters."""
-    languages, table = model
-    shared = rows.sparkSession.sparkContext.broadcast(table.T.astype(np.float32))
+def scored(rows: DataFrame, model: tuple[list[str], np.ndarray, float], markup: bool) -> DataFrame:
+    """``rows`` (id, host, suffix, declared, text) with text_ll array<double> and other instead of the text; null without letters.
+
+    other: log likelihood of the text in no language, less that in the mixture of all.
+    """
+    languages, table, none = model
+    mixture = np.log(np.exp(table).mean(axis=0)) if languages else np.zeros(BUCKETS)
+    shared = rows.sparkSession.sparkContext.broadcast(np.vstack([table, mixture]).T.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            out = []
+            out, others = [], []
             for text in batch.column(4):
                 grams = trigrams(plain(text.as_py()) if markup else text.as_py())
-                out.append((weights[grams].mean(axis=0) * min(len(grams), TEXT_WEIGHT)).astype(float).tolist() if len(grams) and languages else None)
-            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], names=["id", "host", "suffix", "declared", "text_ll"])
+                weight = min(len(grams), TEXT_WEIGHT)
+                *logs, mixed = (weights[grams].mean(axis=0) * weight).astype(float).tolist() if len(grams) and languages else (None,)
+                out.append(logs or None)
+                others.append(None if mixed is None else none * weight - mixed)
+            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.list_(pa.float64())), pa.array(others, pa.float64())], names=["id", "host", "suffix", "declared", "text_ll", "other"])
 
-    return rows.select("id", "host", "suffix", "declared", "text").mapInArrow(run, "id long, host string, suffix string, declared string, text_ll array<double>")
+    return rows.select("id", "host", "suffix", "declared", "text").mapInArrow(run, "id long, host string, suffix string, declared string, text_ll array<double>, other double")
 
 
 def softmax(logs):
@@ -132,13 +164,13 @@ def looked_up(column: str, found: dict[str, list[float]], n: int):
     return F.coalesce(F.try_element_at(pairs, F.col(column)), none)
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False) -> DataFrame:
-    """(id, lang, posterior, text_lang, has_text) of rows (id long, host, suffix, declared, text)."""
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, float], markup: bool = False) -> DataFrame:
+    """(id, lang, posterior, text_lang, has_text, other) of rows (id long, host, suffix, declared, text)."""
     languages, n = model[0], len(model[0])
     cleaned = rows.select("id", F.lower("host").alias("host"), code(F.col("suffix")).alias("suffix"), code(F.col("declared")).alias("declared"), "text")
     seen = scored(cleaned, model, markup)
     if not n:
-        return seen.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("has_text"))
+        return seen.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("has_text"), F.lit(None).cast("double").alias("other"))
     seen = cut(seen.withColumn("domain", domain(F.col("host"))))
     with_post = seen.withColumn("post", softmax(F.col("text_ll")))
     declared, suffix = value_table(with_post, n, "declared"), value_table(with_post, n, "suffix")
@@ -152,25 +184,25 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool
     prior = F.transform(F.coalesce("prior", base), lambda p: F.log(p))
     total = add(add(F.coalesce("text_ll", F.lit([0.0] * n)), prior), add(looked_up("declared", declared, n), looked_up("suffix", suffix, n)))
     labels, post = F.array(*map(F.lit, languages)), softmax(total)
-    fused = joined.select("id", "text_ll", post.alias("post"))
+    fused = joined.select("id", "text_ll", "other", post.alias("post"))
     best = lambda x: F.element_at(labels, F.array_position(x, F.array_max(x)).cast("int"))
-    return fused.select("id", best(F.col("post")).alias("lang"), F.array_max("post").alias("posterior"), F.when(F.col("text_ll").isNotNull(), best(F.col("text_ll"))).alias("text_lang"), F.col("text_ll").isNotNull().alias("has_text"))
+    return fused.select("id", best(F.col("post")).alias("lang"), F.array_max("post").alias("posterior"), F.when(F.col("text_ll").isNotNull(), best(F.col("text_ll"))).alias("text_lang"), F.col("text_ll").isNotNull().alias("has_text"), "other")
 
 
-def of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
     """Languages of web pages (page_id, url, html)."""
     host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     host = F.when(host != "", host)
     declared = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("id"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"), F.when(declared != "", declared).alias("declared"), F.col("html").alias("text"))
-    return identify(rows, model, markup=True).withColumnRenamed("id", "page_id")
+    return identify(rows, model, markup=True).withColumnRenamed("id", "page_id").drop("other")
 
 
-def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.34) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source, ...) with letters and a language of posterior ``least`` or more.
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray, float], least: float = 0.34) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, ...) with letters, a language of posterior ``least`` or more, and text that isn't in none.
 
     ``source`` stands for the host. Rejected are the doc_ids of which a row fails; a row with a null doc_id stays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
-    out = identify(rows, model).where(~F.col("has_text") | (F.col("posterior") < least)).where("id is not null").select(F.col("id").alias("__rejected")).distinct()
+    out = identify(rows, model).where(~F.col("has_text") | (F.col("posterior") < least) | (F.col("other") > float(np.log(1 / OTHER - 1)))).where("id is not null").select(F.col("id").alias("__rejected")).distinct()
     return docs.join(out, docs["doc_id"] == out["__rejected"], "left_anti")

@@ -233,3 +233,16 @@ def test_scores_are_those_of_the_whole_tree(spark):
         logs = tree.token_logs([d])
         want = sum(math.log10(lm_score.UNIGRAM * (counts[w] + 1) / total + (1 - lm_score.UNIGRAM) * 10**x) for w, x in zip([*d, ""], logs))
         assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-4), i
+
+
+def test_language_stage_rejects_foreign_and_garbage_text(spark):
+    rng = random.Random(9)
+    rows = labelled(rng, 300)
+    rows += [(1000 + i, " ".join(rng.choice(PROSE[rng.choice(["en", "de"])]) for _ in range(20)), None) for i in range(30)]  # mixed
+    rows += [(1100, "the", None), (1101, "und mit", None)]
+    letters = lambda some: " ".join("".join(rng.choice(some) for _ in range(rng.randint(3, 9))) for _ in range(40))
+    foreign = ["Вчера вечером мы долго гуляли по берегу реки и говорили", "昨天晚上我们沿着河边走了很久谈论时间过得多么快", "Wczoraj wieczorem długo spacerowaliśmy brzegiem rzeki", letters("bcdfghjklmnpqrstvwxz"), letters("abcdefghijklmnopqrstuvwxyz")]
+    rows += [(2000 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in foreign for lang in (None, "de"))]
+    df = spark.createDataFrame([(i, t, lang, "s") for i, t, lang in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    model = language_id.fit(df.where("doc_id < 1000"))
+    assert {r["doc_id"] for r in language_id.accepted(df, model).collect()} == {i for i, _, _ in rows if i < 2000}
