@@ -85,12 +85,20 @@ def test_token_files_have_a_trained_dictionary(spark, tmp_path):
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma delta", "epsilon"]) + str(rng.randint(0, 99)) for _ in range(200))) for i in range(300)]
     where = f"file://{tmp_path}/trained"
     token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, where, sample_docs=200)
-    name, _, trained = spark.read.parquet(f"{where}/dictionary").first()
-    assert len(trained) > 1000 and hashlib.sha256(trained).hexdigest() == name
+    name, _, how, trained = spark.read.parquet(f"{where}/dictionary").first()
+    assert how == "trained" and len(trained) > 1000 and hashlib.sha256(trained).hexdigest() == name
     assert {r[0] for r in spark.read.parquet(f"{where}/blocks").select("dictionary").distinct().collect()} == {name}
     assert token_files.read(spark, where).count() == 300
 
 
+def test_token_files_of_few_documents_have_a_dictionary(spark, tmp_path):
+    where = f"file://{tmp_path}/few"
+    token_files.write(spark.createDataFrame([(1, "one two three"), (2, "three"), (2, "four")], "doc_id long, text string"), BYTES, where)
+    how, content = spark.read.parquet(f"{where}/dictionary").select("how", "bytes").first()
+    assert how == "content" and len(content)
+    assert sorted(r["n_tokens"] for r in token_files.read(spark, where).collect()) == [2, 2, 4]
+
+
 def check_packing(out, rows, capacity):
     library = Tokenizer.from_file(BYTES)
     bins = defaultdict(list)
@@ -128,6 +136,22 @@ def test_packing_goes_up_the_tree(spark):
     assert used <= 1.25 * least
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bins_that_stay_below_would_not_be_used(seed):
+    """A tree whose nodes pass on as many bins as it has leaves uses no more sequences than one whose nodes pass on all."""
+    rng = random.Random(seed)
+    leaves = [[(rng.randint(1, 64), [{"shift": 0}]) for _ in range(rng.randint(1, 60))] for _ in range(16)]
+
+    def tree(kept):
+        level, used = [packing.joined(items, 64, "shift") for items in leaves], 0
+        while len(level) > 1:
+            used += sum(max(0, len(bins) - kept) for bins in level)
+            level = [packing.joined([b for bins in level[i : i + 4] for b in bins[:kept]], 64, "shift") for i in range(0, len(level), 4)]
+        return used + len(level[0])
+
+    assert tree(len(leaves)) == tree(10**9)
+
+
 def test_best_fit_takes_the_fullest_bin_that_fits():
     assert packing.best_fit([5, 7, 3, 2], 10) == [[1, 2], [0, 3]]
     assert packing.best_fit([], 10) == []
