@@ -1,20 +1,22 @@
-"""Language-model scores of documents from a probabilistic suffix tree, with a smoothed unigram score beside them.
+"""Language-model scores of documents from a probabilistic suffix tree over words, with a smoothed unigram score beside them.
 
-Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Documents are dealt into pieces of PIECE_BYTES of
-text. Each piece's distinct grams of DEPTH + 1 bytes leave its task with their training counts; their sums over all pieces
-are dealt out by the last two bytes of their context, so that all longer contexts with that suffix are in one group.
-Every context seen ``LEAST`` times or more is tested against its suffix, from the root down (the rule is ``suffix_tree``'s);
-grams without a training count take part, so that the deepest level has a probability for every gram of every document. A
-join takes those back to the pieces that hold the gram. Nothing is cut to a number of contexts; the driver gets the first
-two levels' counts, of 65,536 pairs of bytes at most, and a piece its own grams' probabilities.
+Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Texts are dealt into pieces of some PIECE_BYTES; a
+piece is one row of arrays: its documents, the 64-bit hashes of its distinct words, and each token as a number into these.
+Two exchanges follow, in both of which a piece sends each bucket one row of sorted, delta-coded keys with their training counts
+and gets as many counts back, in the same order:
 
-A token's probability is ``1 - UNIGRAM`` times the tree's and UNIGRAM times the smoothed unigram probability. Both are over
-the known tokens and one class of all unknown ones, of whose probability under the tree the one word's is a part; so a
-document's score is no more than the log probability of its tokens in these classes.
+* words, dealt out by hash: each word's count over all training documents, the number of words and of distinct ones;
+* grams of three symbols (``suffix_tree``), dealt out by the nearest context symbol, so that a bucket has all longer contexts
+  that end in it and tests them. A symbol with more than ``grams`` occurrences is dealt out further by the symbol before it; its
+  first level is then counted beforehand, pair by pair.
 
-Counts are needed for every token. The ``common_words`` most frequent words are sent to the
-workers; the others of a document leave its task as hashes and meet the counts in a join, which no frequent word takes
-part in. Sums over documents are aggregated before they are shuffled.
+Symbols are the ``common_words`` most frequent words (those of some count or more), and CLASSES classes of all others, by hash. A
+token's probability is its symbol's under the longest retained suffix of the two before it, times its own in its class:
+(c + 1) / (C + V + 1) with the class's training tokens C and distinct words V. All unknown words of a class are one event, the
+one more. So probabilities sum to one over the known words, the end and an unknown word of each class.
+
+No number of contexts, words or documents is cut. The driver gets one row a bucket, the counts of CLASSES classes and of the
+common words, and sends out arrays of 65,536 symbols.
 
 Cases: a null or empty text is the end token alone. A row with a null doc_id is a training row. Rows are independent:
 repeated ones count twice in training and get equal scores. Without training rows all counts are 0. An empty table gives
@@ -24,12 +26,9 @@ an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -38,221 +37,343 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import suffix_tree
-from strandlake.llm.common import cut, shared_path
-from strandlake.llm.memo_bpe import text_runs
-from strandlake.llm.shingles import words
-
-#: Bytes of text whose grams are sorted at once.
-SORTED_BYTES = 8_000_000
-#: Bytes of text, one document at least, that are scored against one table of grams.
-PIECE_BYTES = 64_000_000
-#: A context seen less often says nothing about its distribution and isn't tested.
-LEAST = 2
-#: The weight of the unigram distribution that the tree's is smoothed with.
-UNIGRAM = 0.3
+from strandlake.llm.common import shared_path
+from strandlake.llm.memo_bpe import CLASSES as BYTE_CLASSES
+from strandlake.llm.memo_bpe import WHITE, text_bytes, text_runs
+
+#: Bytes of text of a piece, one document at least.
+PIECE_BYTES = 12_000_000
+#: Words and grams of a bucket, about.
+WORDS, GRAMS = 1_000_000, 1_000_000
+#: Classes of words that are no symbols of their own, in powers of two; the symbols below the first class are for words.
+CLASS_BITS = 14
+CLASSES = 1 << CLASS_BITS
+FIRST_CLASS = suffix_tree.SYMBOLS - CLASSES
+#: The end token is an empty word.
+END = xxhash.xxh3_64_intdigest(b"")
+
+PIECES = "piece long, doc_ids array<bigint>, lengths array<int>, hashes binary, words binary, n_words long"
+SENT = "bucket int, piece long, keys binary, counts binary"
+BACK = "kind int, piece long, bucket int, blob binary, a long, b long"
+REPLY, TABLE, SUMS, CLASS, LEVEL = range(5)
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def word_hash(word: str) -> int:
-    """A 64-bit hash as a signed integer."""
-    value = xxhash.xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
+def shrunk(a: np.ndarray, kind: str = "<u8") -> bytes:
+    """An array's bytes plane by plane, compressed: small numbers cost little."""
+    import zstandard
 
+    raw = np.ascontiguousarray(a, dtype=kind)
+    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
 
-def training(batch: pa.RecordBatch) -> list[str | None]:
-    ids, texts = batch.column(0).to_pylist(), batch.column(1)
-    return [texts[i].as_py() for i, doc_id in enumerate(ids) if not held_out(doc_id)]
 
+def grown(blob: bytes, kind: str = "<u8") -> np.ndarray:
+    import zstandard
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, word, n) over the training documents; the end token is the empty word."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(map(word_hash, found)), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["h", "word", "n"])
-            found.clear()
-            return out
+def shrunk_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return shrunk(np.diff(keys, prepend=np.uint64(0)))
+
+
+def grown_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(grown(blob), dtype=np.uint64)
+
 
-        for batch in rows:
-            for text in training(batch):
-                found.update(words(text))
-                found[""] += 1
-                if len(found) > 700_000:
-                    yield flush()
-        if found:
-            yield flush()
+def batch(ddl: str, *columns) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.record_batch([pa.array(c, types[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    return docs.mapInArrow(run, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, each token's number, tokens of each text) of a column; A-Z are lower-cased, an end follows each text."""
+    data, bounds = text_bytes(texts)
+    lower = np.where((data >= 0x41) & (data <= 0x5A), data + np.uint8(0x20), data)
+    white = BYTE_CLASSES[data] == WHITE
+    cuts = np.ones(len(data) + 1, dtype=bool)
+    cuts[1:-1] = white[1:] != white[:-1]
+    cuts[bounds] = True
+    at = np.flatnonzero(cuts)
+    real = ~white[at[:-1]] if len(data) else np.zeros(0, dtype=bool)
+    runs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(lower))])
+    coded = runs.filter(pa.array(real)).dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    found = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    hashes = np.unique(np.append(found, np.uint64(END)))
+    number = np.searchsorted(hashes, found)[coded.indices.to_numpy()].astype(np.uint32)
+    seen = np.append(0, np.cumsum(real))[np.searchsorted(at, bounds)]
+    return hashes, np.insert(number, seen[1:], np.searchsorted(hashes, np.uint64(END))), np.diff(seen) + 1
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with (row, piece), stored: both numbers are fixed from here on."""
+    """``docs`` (doc_id, text) as PIECES, stored: all numbers are fixed from here on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = piece = TaskContext.get().partitionId() << 40
-        size = 0
-        for batch in rows:
-            numbers = []
-            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
-                if size and size + n > PIECE_BYTES:
+        piece, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row() -> pa.RecordBatch:
+            hashes, numbers, lengths = tokens(pa.concat_arrays([t for _, t in waiting]))
+            ids = [i for part, _ in waiting for i in part.to_pylist()]
+            return batch(PIECES, [piece], [ids], [lengths], [shrunk_keys(hashes)], [shrunk(numbers, "<u4")], [len(hashes)])
+
+        for own in rows:
+            for a, texts in text_runs(own.column(1), PIECE_BYTES):
+                waiting.append((own.column(0).slice(a, len(texts)), pc.fill_null(texts, "").cast(pa.string())))
+                size += pc.sum(pc.binary_length(waiting[-1][1])).as_py() or 0
+                if size >= PIECE_BYTES // 2:
+                    yield row()
                     piece, size = piece + 1, 0
-                size += n + 1
-                numbers.append(piece)
-            yield pa.record_batch([pa.array(np.arange(row, row + len(batch))), pa.array(numbers, pa.int64()), *batch.columns], names=["row", "piece", "doc_id", "text"])
-            row += len(batch)
+                    waiting.clear()
+        if waiting:
+            yield row()
 
-    return stored(docs.mapInArrow(run, "row long, piece long, doc_id long, text string"), "pieces")
+    return stored(docs.mapInArrow(run, PIECES), "pieces")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as compressed Parquet in the shared folder, for what is too large for ``cut``."""
+    """``df`` as Parquet in the shared folder."""
     to = shared_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(to)
-    return df.sparkSession.read.parquet(to)
-
-
-def piece_grams(dealt: DataFrame) -> DataFrame:
-    """(piece, gram, n): the grams of each piece and their counts in its training documents, 0 for those of others only.
-
-    A piece that several tasks read has rows from each.
-    """
-    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, piece, size = none, None, 0
-        pending: dict[bool, list] = {False: [], True: []}
-
-        def counted():
-            out = total
-            for held, texts in pending.items():
-                if texts:
-                    found, n = suffix_tree.grams(*suffix_tree.joined(texts))
-                    out = suffix_tree.merged(out, (found, np.zeros_like(n) if held else n))
-                    texts.clear()
-            return out
-
-        def batches():
-            for a in range(0, len(total[0]), 200_000):
-                gram, n = (pa.array(x[a : a + 200_000], pa.int64()) for x in total)
-                yield pa.record_batch([pa.array(np.full(len(gram), piece), pa.int64()), gram, n], names=["piece", "gram", "n"])
-
-        for batch in rows:
-            numbers, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for number, doc_id, text in zip(numbers, ids, batch.column(2), strict=True):
-                if number != piece or size >= SORTED_BYTES:
-                    total, size = counted(), 0
-                if number != piece:
-                    yield from batches()
-                    total, piece = none, number
-                text = text.as_py()
-                pending[held_out(doc_id)].append(words(text))
-                size += len(text or "")
-        total = counted()
-        yield from batches()
-
-    return dealt.select("piece", "doc_id", "text").mapInArrow(run, "piece long, gram long, n long")
-
-
-def tested(key: np.ndarray, n: np.ndarray, p: np.ndarray, depths: range) -> np.ndarray:
-    """The probabilities of distinct sorted keys of the last of ``depths``, from their counts and those of the depth before the first.
-
-    All keys with the same last bytes, as many as a context of the first depth has, are here.
-    """
-    for d in depths:
-        own, first, at = np.unique(key & ((1 << 8 * (d + 1)) - 1), return_index=True, return_inverse=True)
-        count, parent = np.bincount(at, weights=n), p[first]
-        starts = np.flatnonzero(np.r_[True, np.diff(own >> 8) != 0])
-        sizes = np.diff(np.r_[starts, len(own)])
-        total, types = np.add.reduceat(count, starts), np.add.reduceat((count > 0).astype(float), starts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.add.reduceat(np.where(count > 0, count * np.log(count / np.repeat(total, sizes) / parent), 0), starts)
-        keep = (total > 0 if d == 0 else total >= LEAST) & ((gain >= 0.5 * types * np.log(np.maximum(total, 2))) | (d == 0))
-        smoothed = (count + np.repeat(types, sizes) * parent) / np.maximum(np.repeat(total + types, sizes), 1)
-        p = np.where(np.repeat(keep, sizes), smoothed, parent)[at]
-    return p
-
-
-def train(found: DataFrame) -> DataFrame:
-    """(gram, log): log10 P(last byte | bytes before) under the tree, of every gram in ``found`` (gram, n; grams are distinct)."""
-    pairs = found.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
-    pair, count = (pairs.column(c).to_numpy() for c in ("pair", "n"))  # 65,536 at most
-    types = len(np.unique(pair[count > 0] & 255))
-    uniform = 1 / (types + 1) if types else 1 / 256  # the one more is for all bytes that training didn't have
-    root = tested(pair, count, np.full(len(pair), uniform), range(2)) if len(pair) else np.empty(0)
-
-    def run(rows: pa.Table) -> pa.Table:
-        gram, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-        p = tested(gram, n, root[np.searchsorted(pair, gram & 0xFFFF)], range(2, suffix_tree.DEPTH + 1))
-        return pa.table({"gram": gram, "log": np.log10(p).astype(np.float32)})
-
-    # All contexts that end in the same two bytes are in one group, with their counts.
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    return found.select(suffix.alias("suffix"), "gram", "n").groupBy("suffix").applyInArrow(run, "gram long, log float")
-
-
-def score(docs: DataFrame, max_states: int | None = None, common_words: int = 200_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
-
-    ``max_states`` was the number of contexts looked at; it is still taken, and limits nothing.
-    """
+    df.write.option("compression", "uncompressed").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def trained(ids: list, lengths: np.ndarray) -> np.ndarray:
+    """1 for the tokens of training documents, else 0."""
+    return np.repeat(np.array([not held_out(i) for i in ids], dtype=np.uint8), lengths)
+
+
+def sent(piece: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of SENT from keys in order of bucket."""
+    first = suffix_tree.heads(bucket)
+    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+    return batch(SENT, bucket[first], [piece] * len(parts), [shrunk_keys(keys[a:b]) for a, b in parts], [shrunk(counts[a:b], "<u4") for a, b in parts])
+
+
+def received(rows: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(pieces, each one's slice of ``keys``' numbers, keys, counts) of a bucket's rows from pieces."""
+    names = rows.column("piece").to_pylist()
+    keys = [grown_keys(b.as_py()) for b in rows.column("keys")]
+    counts = np.concatenate([grown(b.as_py(), "<u4") for b in rows.column("counts")])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return names, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), every, np.bincount(at, weights=counts, minlength=len(every)).astype(np.int64)
+
+
+def back(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch(BACK, *(list(c) for c in zip(*rows, strict=True)))])
+
+
+def word_counts(dealt: DataFrame, bits: int) -> DataFrame:
+    """BACK rows of the words' exchange over 2^bits buckets: replies, tables of words, sums, and classes' sums."""
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in rows:
+            for r in own.to_pylist():
+                hashes, numbers = grown_keys(r["hashes"]), grown(r["words"], "<u4")
+                n = np.bincount(numbers, weights=trained(r["doc_ids"], r["lengths"]), minlength=len(hashes))
+                yield sent(r["piece"], (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64), hashes, n)
+
+    def count(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        names, parts, hashes, n = received(rows)
+        known, own = n > 0, hashes >> np.uint64(64 - CLASS_BITS)
+        first = suffix_tree.heads(own)
+        out = [(REPLY, piece, bucket, shrunk(n[at]), None, None) for piece, at in zip(names, parts, strict=True)]
+        out.append((TABLE, None, bucket, shrunk_keys(hashes[known]), None, None))
+        out.append((SUMS, None, bucket, shrunk(n[known]), int(n.sum()), int(known.sum())))
+        sums = np.add.reduceat(n, first), np.add.reduceat(known.astype(np.int64), first)
+        out += [(CLASS, int(c), bucket, None, int(a), int(b)) for c, a, b in zip(own[first], *sums, strict=True)]
+        return back(out)
+
+    return stored(dealt.select("piece", "doc_ids", "lengths", "hashes", "words").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(count, BACK), "words")
+
+
+def steps(n: np.ndarray) -> np.ndarray:
+    """Counts in 64 steps within each power of two; exact below 64."""
+    power = np.floor(np.log2(n)).astype(np.int64)
+    power -= (n >> power) == 0
+    return power << 6 | (n - (1 << power) << 6 >> power)
+
+
+def frequent(counted: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the words that reach some step of counts, ``limit`` at most."""
+    tables = counted.where(F.col("kind").isin(TABLE, SUMS)).groupBy("bucket").agg(F.max(F.when(F.col("kind") == TABLE, F.col("blob"))).alias("keys"), F.max(F.when(F.col("kind") == SUMS, F.col("blob"))).alias("counts"))
+
+    def histogram(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in rows:
+            for blob in own.column(0).to_pylist():
+                step, n = np.unique(steps(grown(blob).astype(np.int64)), return_counts=True)
+                yield batch("step long, n long", step, n)
+
+    def chosen(least: int):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own in rows:
+                for keys, counts in zip(*(c.to_pylist() for c in own.columns), strict=True):
+                    hashes, n = grown_keys(keys), grown(counts).astype(np.int64)
+                    keep = steps(n) >= least
+                    yield batch("h long, n long", hashes[keep].view(np.int64), n[keep])
+
+        return run
+
+    sums = counted.where(F.col("kind") == SUMS).select("blob").mapInArrow(histogram, "step long, n long")
+    taken, least = 0, None
+    for r in sorted(sums.groupBy("step").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        taken += r["n"]
+        if taken > limit:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    found = tables.select("keys", "counts").mapInArrow(chosen(least), "h long, n long").toArrow()
+    hashes, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def symbols(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The symbol of each word."""
+    out = FIRST_CLASS + (hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        out = np.where(common[at] == hashes, at, out)
+    return out.astype(np.uint16)
+
+
+def buckets(load: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, number of buckets) of each symbol; loads of up to ``size`` share a bucket."""
+    shares = np.maximum(-(-load // size), 1)
+    hot = shares > 1
+    first = np.cumsum(np.where(hot, 0, load)) // size
+    plain = int(first[-1]) + 1
+    first[hot] = plain + np.cumsum(shares[hot]) - shares[hot]
+    return first, shares
+
+
+def piece_grams(row: dict, common: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple:
+    """(keys in order of bucket, their buckets, the order of the sorted keys that makes, numbers of each token's, hashes, token numbers)."""
+    hashes, numbers = grown_keys(row["hashes"]), grown(row["words"], "<u4")
+    own = symbols(hashes, common)
+    keys, at = np.unique(suffix_tree.contexts(own[numbers], np.array(row["lengths"]), int(symbols(np.array([END], dtype=np.uint64), common)[0])), return_inverse=True)
+    near, before = (keys >> np.uint64(32)).astype(np.int64), (keys >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)
+    bucket = first[near] + before * 40_503 % 65_536 % shares[near]
+    order = np.argsort(bucket, kind="stable")
+    return keys[order], bucket[order], order, at, hashes, numbers
+
+
+def tree_counts(dealt: DataFrame, common: np.ndarray, dealing: tuple[np.ndarray, np.ndarray], base: np.ndarray) -> DataFrame:
+    """BACK rows of the grams' exchange: replies, and first-level contexts."""
+    first, shares = dealing
+    hot = np.flatnonzero(shares > 1)
+    shared = dealt.sparkSession.sparkContext.broadcast((common, first, shares, base))
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in rows:
+            for r in own.to_pylist():
+                keys, bucket, order, at, _, _ = piece_grams(r, *shared.value[:3])
+                n = np.bincount(at, weights=trained(r["doc_ids"], r["lengths"]), minlength=len(keys))
+                yield sent(r["piece"], bucket, keys, n[order])
+
+    def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in rows:
+            for r in own.to_pylist():
+                keys, _, order, at, _, _ = piece_grams(r, *shared.value[:3])
+                n = np.bincount(at, weights=trained(r["doc_ids"], r["lengths"]), minlength=len(keys))[order]
+                chosen = (n > 0) & np.isin(keys >> np.uint64(32), hot.astype(np.uint64))
+                pair, at = np.unique((keys[chosen] >> np.uint64(32)) << np.uint64(16) | keys[chosen] & np.uint64(0xFFFF), return_inverse=True)
+                yield batch("pair long, n long", pair.view(np.int64), np.bincount(at, weights=n[chosen], minlength=len(pair)).astype(np.int64))
+
+    def level(rows: pa.Table) -> pa.Table:
+        symbol = rows.column("symbol")[0].as_py()
+        pair = rows.column("pair").to_numpy()
+        order = np.argsort(pair)
+        keys, counts = shrunk_keys(pair[order].view(np.uint64)), shrunk(rows.column("n").to_numpy()[order])
+        own = range(int(first[symbol]), int(first[symbol] + shares[symbol]))
+        return pa.Table.from_batches([batch(SENT, list(own), [None] * len(own), [keys] * len(own), [counts] * len(own))])
+
+    def count(rows: pa.Table) -> pa.Table:
+        bucket, base = rows.column("bucket")[0].as_py(), shared.value[3]
+        whole = rows.filter(pc.is_null(rows.column("piece")))
+        given = (grown_keys(whole.column("keys")[0].as_py()), grown(whole.column("counts")[0].as_py()).astype(np.int64)) if len(whole) else None
+        mine = rows.filter(pc.is_valid(rows.column("piece")))
+        if len(mine):
+            names, parts, keys, n = received(mine)
+        else:
+            names, parts, keys, n = [], [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        tree, out = suffix_tree.Grams(keys, n, base, given), []
+        for piece, at in zip(names, parts, strict=True):
+            deep = tree.deep[at]
+            kept = at[deep]
+            blobs = [shrunk(tree.pair_count[at]), shrunk(deep, "u1"), *(shrunk(x[kept]) for x in (tree.deep_total, tree.deep_types, tree.count))]
+            out.append((REPLY, piece, bucket, np.array([len(b) for b in blobs], dtype="<i8").tobytes() + b"".join(blobs), None, None))
+        levels = np.stack([tree.nearest, tree.total, tree.types, tree.kept.astype(np.int64)])
+        if given is None or bucket == int(first[int(tree.nearest[0])]):
+            out.append((LEVEL, None, bucket, shrunk(levels.ravel()), None, None))
+        return back(out or [(LEVEL, None, bucket, shrunk(levels[:, :0].ravel()), None, None)])
+
+    dealt = dealt.select("piece", "doc_ids", "lengths", "hashes", "words")
+    rows = dealt.mapInArrow(send, SENT)
+    if len(hot):
+        counted = dealt.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        rows = rows.unionAll(counted.withColumn("symbol", F.shiftright("pair", 16)).groupBy("symbol").applyInArrow(level, SENT))
+    return stored(rows.groupBy("bucket").applyInArrow(count, BACK), "grams")
+
+
+def score(docs: DataFrame, common_words: int = FIRST_CLASS, words: int = WORDS, grams: int = GRAMS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     dealt = pieces(docs.select(F.col("doc_id").cast("long"), "text"))
-    counts = cut(word_counts(dealt.select("doc_id", "text")))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = {r["word"]: r["n"] for r in counts.where("word != ''").orderBy(F.desc("n"), "word").limit(common_words).toLocalIterator()}
-    ends = (counts.where("word = ''").first() or {"n": 0})["n"]
-    sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(common)
-    # Grouped without sums before the exchange, in which few rows of a task would meet: each gram with all its pieces.
-    found = stored(piece_grams(dealt).repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), F.collect_set("piece").alias("pieces")), "grams")
-    logs_of = found.select("gram", "pieces").join(train(found.select("gram", "n")), "gram").select(F.explode("pieces").alias("piece"), "gram", "log")
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<bigint>, rare_logs array<double>"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-
-    def run(mine_rows: pa.Table, tree: pa.Table) -> pa.Table:
-        get, gram, log, done = table.value.get, pd.Index(tree.column("gram").to_numpy()), tree.column("log").to_numpy(), []
-        del tree
-        for batch in mine_rows.select(["row", "doc_id", "text"]).to_batches():
-            rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, texts in text_runs(batch.column(2), 1_000_000):
-                tokens = [words(t) for t in texts]
-                key, read = suffix_tree.keys(*suffix_tree.joined(tokens))
-                logs, at = suffix_tree.token_sums(log[gram.get_indexer(key)].astype(np.float64), read), 0
-                out: list = [[] for _ in types]
-                for row, doc_id, mine in zip(rows[a : a + len(texts)], ids[a : a + len(texts)], tokens, strict=True):
-                    own = logs[at : at + len(mine) + 1]
-                    at += len(mine) + 1
-                    c = np.fromiter(map(get, mine, repeat(-1)), dtype=np.float64, count=len(mine))
-                    c = np.append(c, ends)
-                    sent = c >= 0
-                    unigram = (c[sent] + 1) / (n + v + 1)
-                    total = np.log10(UNIGRAM * unigram + (1 - UNIGRAM) * 10 ** own[sent]).sum()
-                    rare = [word_hash(mine[i]) for i in np.flatnonzero(~sent).tolist()]
-                    known = int(sent.sum()) - (ends == 0)
-                    for column, value in zip(out, (row, doc_id, held_out(doc_id), len(mine) + 1, known, float(np.log10(unigram).sum()), float(total), rare, own[~sent]), strict=True):
-                        column.append(value)
-                done.append(pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in ddl.split(", ")]))
-        return pa.Table.from_batches(done)
-
-    scored = cut(dealt.groupBy("piece").cogroup(logs_of.groupBy("piece")).applyInArrow(run, ddl))
-    rest = counts.where("word != ''").select("h", "n")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_logs")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.rare_logs").alias("log")).join(rest, "h", "left")
-    unigram = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1))
-    mixed = F.log10(UNIGRAM * unigram + (1 - UNIGRAM) * F.pow(F.lit(10.0), F.col("log")))
-    sums = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(unigram)).alias("base_more"), F.sum(mixed).alias("score_more"))
-    joined = scored.drop("rare", "rare_logs").join(sums, "row", "left")
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"),
-    )
+    sizes = dealt.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
+    counted = word_counts(dealt, max(0, (int(sizes["w"]) // words).bit_length()))
+    n, v = counted.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    common, common_n = frequent(counted, min(common_words, FIRST_CLASS))
+    tokens_of, words_of = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+    for r in counted.where(F.col("kind") == CLASS).groupBy("piece").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+        tokens_of[r["piece"]], words_of[r["piece"]] = r["a"], r["b"]
+    own = (common >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+    tokens_of -= np.bincount(own, weights=common_n, minlength=CLASSES).astype(np.int64)
+    words_of -= np.bincount(own, minlength=CLASSES)
+    counts = np.zeros(suffix_tree.SYMBOLS, dtype=np.int64)
+    counts[: len(common)], counts[FIRST_CLASS:] = common_n, tokens_of
+    base = suffix_tree.root(counts, len(common) + CLASSES)
+    first, shares = buckets(counts * 7 // 6 + 1, grams)  # of seven documents six train
+    replies = tree_counts(dealt, common, (first, shares), base)
+    level = np.zeros((3, suffix_tree.SYMBOLS), dtype=np.int64)
+    for r in replies.where(F.col("kind") == LEVEL).select("blob").toLocalIterator():
+        nearest, *found = grown(bytes(r["blob"])).astype(np.int64).reshape(4, -1)
+        level[:, nearest] = found
+    shared = docs.sparkSession.sparkContext.broadcast((common, first, shares, base, level, tokens_of + words_of + 1))
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        common, first, shares, base, level, class_size = shared.value
+        row = mine.to_pylist()[0]
+        keys, _, order, at, hashes, numbers = piece_grams(row, common, first, shares)
+        sorted_rows = sorted(zip(answers.column("of_words").to_pylist(), answers.column("bucket").to_pylist(), answers.column("blob"), strict=True), key=lambda a: a[:2])
+        c = np.concatenate([grown(b.as_py()) for of_words, _, b in sorted_rows if of_words]).astype(np.int64)
+        parts: list = [[] for _ in range(5)]
+        for of_words, _, blob in sorted_rows:
+            if not of_words:
+                data = blob.as_py()
+                ends = 40 + np.cumsum(np.frombuffer(data[:40], dtype="<i8"))
+                for part, a, b, kind in zip(parts, [40, *ends[:-1]], ends, ("<u8", "u1", "<u8", "<u8", "<u8"), strict=True):
+                    part.append(grown(data[a:b], kind))
+        pair_count, deep, *rest = (np.concatenate(p) for p in parts)
+        p = np.empty(len(keys))
+        p[order] = suffix_tree.probabilities(keys, base, (level[0], level[1], level[2] > 0), pair_count.astype(np.int64), deep > 0, *(x.astype(np.int64) for x in rest))
+        within = np.zeros(len(hashes))
+        of_class = symbols(hashes, common) >= FIRST_CLASS
+        within[of_class] = np.log10((c[of_class] + 1) / class_size[(hashes[of_class] >> np.uint64(64 - CLASS_BITS)).astype(np.int64)])
+        lengths = np.array(row["lengths"], dtype=np.int64)
+        heads = np.cumsum(lengths) - lengths
+        sums = lambda x: np.add.reduceat(x, heads)
+        base_logs, known = np.log10((c + 1) / (n + v + 1)), (c > 0).astype(np.int64)
+        return pa.Table.from_batches([batch(ddl, row["doc_ids"], [held_out(i) for i in row["doc_ids"]], lengths, sums(known[numbers]), [int(n)] * len(lengths), sums(base_logs[numbers]), sums(np.log10(p)[at] + within[numbers]))])
+
+    answers = counted.where(F.col("kind") == REPLY).select("piece", F.lit(True).alias("of_words"), "bucket", "blob")
+    answers = answers.unionAll(replies.where(F.col("kind") == REPLY).select("piece", F.lit(False).alias("of_words"), "bucket", "blob"))
+    return dealt.select("piece", "doc_ids", "lengths", "hashes", "words").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(run, ddl)

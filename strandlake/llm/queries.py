@@ -42,7 +42,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), common_words=200_000)
+    return lm_score.score(table(spark, sf_dir, "documents"))
 
 
 #: Two adjacent turns whose text has the template's own marks.

@@ -1,121 +1,102 @@
-"""A probabilistic suffix tree over the bytes of words: its grams, and a tree that fits memory as a table-driven automaton.
-
-A text is its words, each with a space behind, then a line feed as its end, in UTF-8; ``DEPTH`` line feeds stand before
-it as its start. A context is a run of up to DEPTH bytes. Those that the caller gives are the tree's candidates; a candidate is retained if its next-byte distribution diverges from its longest proper suffix's
-by more than the test allows (log-likelihood gain of at least half a log of its count for each different next byte).
-Retained distributions are smoothed with their suffix's, in proportion to the number of different next bytes; others are
-their suffix's. All candidates are the automaton's states, so that the state after each byte is the longest candidate
-suffix of what was read. ``lm_score`` has the same tree as tables of any size.
+"""A probabilistic suffix tree over word symbols, as sorted arrays of grams and their counts.
+
+Symbols are 16-bit numbers. A context is a run of up to DEPTH = 2 symbols, a gram a context with the symbol behind it, in a
+64-bit key: the nearest context symbol highest, then the one before it, then the next symbol. So a context's grams lie
+side by side in order of key, and all contexts with the same nearest symbol are one run.
+
+A context is retained if its next-symbol distribution diverges from its suffix's by a test on its own occurrences: each is
+predicted from the others, smoothed with the suffix's distribution, and the sum of the log ratios to that distribution has
+to be positive. One that was seen with different next symbols each time is no evidence and fails. A retained distribution is
+(count + types * suffix's probability) / (total + types), with ``types`` the number of different next symbols; any other is its
+suffix's. The root is smoothed in the same way with the uniform distribution. All of them sum to one over the symbols.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEPTH, SPACE, END = 6, 0x20, 0x0A
-PAD = bytes([END]) * DEPTH
-#: Texts are read side by side in so many lanes.
-LANES = 4096
-
-
-def stream(tokens: list[str]) -> bytes:
-    return PAD + "".join([w + " " for w in tokens]).encode() + b"\n"
-
-
-def joined(tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' streams end to end, and the index behind each."""
-    parts = [stream(t) for t in tokens]
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([len(p) for p in parts])
-
-
-def keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The DEPTH + 1 bytes up to each byte that isn't padding, the last byte lowest; and those bytes."""
-    key = np.zeros(len(data), dtype=np.int64)
-    for back in range(DEPTH, -1, -1):
-        key <<= 8
-        key[back:] |= data[: len(data) - back]
-    real = np.ones(len(data), dtype=bool)
-    for k in range(DEPTH):
-        real[np.r_[0, ends[:-1]] + k] = False
-    return key[real], data[real]
-
-
-def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of the distinct ``keys``."""
-    return np.unique(keys(data, ends)[0], return_counts=True)
-
-
-def token_sums(logs: np.ndarray, read: np.ndarray) -> np.ndarray:
-    """Sums of the bytes' ``logs`` by token, each word with its space, each text's end behind its words."""
-    behind = np.flatnonzero((read == SPACE) | (read == END)) + 1
-    return np.add.reduceat(logs, np.r_[0, behind[:-1]]) if len(behind) else np.empty(0)
-
-
-def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([a[1], b[1]])).astype(np.int64)
-
-
-class SuffixTree:
-    """Transitions and log10 probabilities of states (rows) and symbols (columns)."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, starts: np.ndarray, symbol: np.ndarray, count: np.ndarray):
-        """Candidate i has ``depth[i]``, its bytes in ``context[i]`` (the last lowest), and its next bytes from starts[i] on."""
-        seen = np.unique(symbol)
-        self.column = np.full(256, len(seen), dtype=np.int64)
-        self.column[seen] = np.arange(len(seen))
-        self.width = len(seen) + 1  # the last one is for all bytes that training didn't have
-        self.retained = 0
-        known, links, dists, first = [], [], [], [0]
-        for d in range(DEPTH + 1):
-            rows = np.flatnonzero(depth == d)
-            rows = rows[np.argsort(context[rows], kind="stable")]
-            if d:  # candidates whose prefix and suffix are candidates; counts make that the rule, ties the exception
-                rows = rows[np.isin(context[rows] >> 8, known[-1]) & np.isin(context[rows] & ((1 << 8 * (d - 1)) - 1), known[-1])]
-            names = context[rows]
-            counts = np.zeros((len(rows), self.width))
-            for r, i in enumerate(rows.tolist()):
-                counts[r, self.column[symbol[starts[i] : starts[i + 1]]]] = count[starts[i] : starts[i + 1]]
-            total, types = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-            links.append(np.searchsorted(known[-1], names & ((1 << 8 * (d - 1)) - 1)) if d else None)
-            parent = dists[-1][links[-1]] if d else np.full((len(rows), self.width), 1 / self.width)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(counts > 0, counts * np.log(counts / total / parent), 0).sum(axis=1, keepdims=True)
-            keep = (gain >= 0.5 * types * np.log(np.maximum(total, 2))) | (d == 0)
-            self.retained += int(keep.sum())
-            dists.append(np.where(keep, (counts + types * parent) / np.maximum(total + types, 1), parent))
-            known.append(names)
-            first.append(first[-1] + len(names))
-        tables = []
-        for d, names in enumerate(known):  # what the suffix has, but for the candidates that are one byte longer
-            table = tables[-1][links[d]] if d else np.zeros((len(names), self.width), dtype=np.int64)
-            if d < DEPTH:
-                longer = known[d + 1]
-                table[np.searchsorted(names, longer >> 8), self.column[longer & 255]] = first[d + 1] + np.arange(len(longer))
-            tables.append(table)
-        if not len(known[0]):
-            tables[0], dists[0] = np.zeros((1, self.width), dtype=np.int64), np.full((1, self.width), 1 / 256)
-        self.next = (np.concatenate(tables) * self.width).astype(np.int32)  # where the next state's row starts
-        self.logs = np.log10(np.concatenate(dists)).astype(np.float32)
-
-    def token_logs(self, tokens: list[list[str]]) -> np.ndarray:
-        """log10 probabilities of all tokens of the texts, each word with its space, each text's end behind its words."""
-        data, ends = joined(tokens)
-        symbols = self.column.astype(np.int32)[data]
-        length = -(-len(symbols) // LANES)
-        padded = np.full(DEPTH + LANES * length, self.column[END], dtype=np.int32)
-        padded[DEPTH : DEPTH + len(symbols)] = symbols
-        # Each lane first reads the DEPTH bytes before it: no state depends on more.
-        lanes = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + length)[::length][:LANES].T.copy()
-        row, at, out = np.zeros(LANES, dtype=np.int32), np.empty(LANES, dtype=np.int32), np.empty((length, LANES), dtype=np.float32)
-        steps, logs = self.next.ravel(), self.logs.ravel()
-        for k in range(DEPTH + length):
-            np.add(row, lanes[k], out=at)
-            if k >= DEPTH:
-                np.take(logs, at, out=out[k - DEPTH], mode="clip")
-            np.take(steps, at, out=row, mode="clip")
-        real = np.ones(len(symbols), dtype=bool)
-        for k in range(DEPTH):
-            real[np.r_[0, ends[:-1]] + k] = False
-        flat, read = out.T.ravel()[: len(symbols)][real].astype(np.float64), data[real]
-        return token_sums(flat, read)
+DEPTH, SYMBOLS = 2, 1 << 16
+
+
+def contexts(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The key of each symbol's gram; texts lie end to end, ``end`` stands before each."""
+    start = np.zeros(len(symbols), dtype=bool)
+    heads = np.cumsum(lengths) - lengths
+    start[heads[lengths > 0]] = True
+    x = symbols.astype(np.uint64)
+    one = np.empty_like(x)
+    one[1:], one[start] = x[:-1], end
+    two = np.empty_like(x)
+    two[1:], two[start] = one[:-1], end
+    return one << np.uint64(32) | two << np.uint64(16) | x
+
+
+def root(counts: np.ndarray, alphabet: int) -> np.ndarray:
+    """P(symbol) of all SYMBOLS numbers, of which ``alphabet`` are symbols; the others are never asked for."""
+    types = int((counts > 0).sum())
+    return (counts + types / alphabet) / (counts.sum() + types) if types else np.full(len(counts), 1 / alphabet)
+
+
+def tested(first: np.ndarray, count: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(total, types, retained) of each context, whose grams start at ``first``; parent: the next symbols' probabilities under its suffix."""
+    if not len(first):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    sizes = np.diff(np.append(first, len(count)))
+    total, types = np.add.reduceat(count, first), np.add.reduceat((count > 0).astype(np.int64), first)
+    others = np.repeat(types, sizes) - (count == 1)
+    rest = np.repeat(total, sizes) - 1 + others
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = (np.maximum(count - 1, 0) / parent + others) / rest
+        gain = np.where((count > 0) & (rest > 0), count * np.log(ratio), 0.0)
+    return total, types, (total > 1) & (np.add.reduceat(gain, first) > 0)
+
+
+def smoothed(count: np.ndarray, total: np.ndarray, types: np.ndarray, kept: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    return np.where(kept, (count + types * parent) / np.maximum(total + types, 1), parent)
+
+
+def heads(names: np.ndarray) -> np.ndarray:
+    """Where runs of equal names start."""
+    return np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, dtype=np.int64)
+
+
+class Grams:
+    """The tree below some nearest symbols, from all their grams (sorted distinct ``key`` with ``count``).
+
+    ``pairs`` (sorted key of nearest and next symbol, count) are the first level's where the grams of a nearest symbol are
+    only a share of all.
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, base: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
+        pair = (key >> np.uint64(32)) << np.uint64(16) | (key & np.uint64(0xFFFF))
+        if pairs is None:
+            names, at = np.unique(pair, return_inverse=True)
+            n = np.bincount(at, weights=count, minlength=len(names)).astype(np.int64)
+        else:
+            names = np.union1d(pairs[0], pair)
+            n = np.zeros(len(names), dtype=np.int64)
+            n[np.searchsorted(names, pairs[0])] = pairs[1]
+            at = np.searchsorted(names, pair)
+        own = names >> np.uint64(16)
+        first = heads(own)
+        self.nearest = own[first].astype(np.int64)
+        below = base[(names & np.uint64(0xFFFF)).astype(np.int64)]
+        self.total, self.types, self.kept = tested(first, n, below)
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        parent = smoothed(n, self.total[which], self.types[which], self.kept[which], below)[at]
+        #: Of each gram: the count of its nearest and next symbol; and of its whole context, where that is retained, (total, types, count).
+        self.pair_count = n[at]
+        first = heads(key >> np.uint64(16))
+        total, types, kept = tested(first, count, parent)
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(count))))
+        self.deep = kept[which]
+        self.deep_total, self.deep_types, self.count = total[which], types[which], count
+
+
+def probabilities(key: np.ndarray, base: np.ndarray, level: tuple[np.ndarray, np.ndarray, np.ndarray], pair_count: np.ndarray, deep: np.ndarray, deep_total: np.ndarray, deep_types: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """P(next symbol | longest retained suffix) of each gram; level: (total, types, retained) of every symbol as a context."""
+    near, x = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int64)
+    total, types, kept = level
+    p = smoothed(pair_count, total[near], types[near], kept[near], base[x])
+    p[deep] = (count + deep_types * p[deep]) / (deep_total + deep_types)
+    return p

@@ -160,7 +160,7 @@ def test_scores_of_awkward_rows(awkward, awkward_rows, nothing):
         tokens = [*words(text), ""]
         base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)
         want[doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2, len(tokens), sum(counts[t] > 0 for t in tokens), n, round(base, 6)] += 1
-    out = lm_score.score(awkward, max_states=3000, common_words=20).collect()
+    out = lm_score.score(awkward).collect()
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     assert all(r["score"] < 0 for r in out)
     assert lm_score.score(nothing).collect() == []
@@ -170,69 +170,89 @@ def test_scores_beat_the_unigrams_on_held_out_text(spark):
     rng = random.Random(5)
     tongues = [["ka", "to", "mi", "ren"], ["pod", "ek", "ush", "dra"]]  # a document is in one of two
     rows = [(i, " ".join("".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(1, 3))) for _ in range(60))) for i in range(300)]
-    out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), max_states=5000, common_words=100).where("held_out")
+    out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("held_out")
     row = out.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert row["s"] > row["b"]
 
 
-def test_automaton_equals_longest_suffix_states():
-    rng = random.Random(7)
-    docs = [[rng.choice(["ab", "ba", "abc", "cab"]) for _ in range(rng.randint(0, 30))] for _ in range(60)]
-    keys, n = suffix_tree.grams(*suffix_tree.joined(docs))
-    found = defaultdict(Counter)
-    for key, count in zip(keys.tolist(), n.tolist(), strict=True):
-        for d in range(suffix_tree.DEPTH + 1):
-            found[d, key >> 8 & (1 << 8 * d) - 1][key & 255] += count
-    chosen = [c for c in found if sum(found[c].values()) >= 8]
-    starts = np.cumsum([0, *(len(found[c]) for c in chosen)])
-    tree = suffix_tree.SuffixTree(np.array([d for d, _ in chosen]), np.array([c for _, c in chosen]), starts, np.array([s for c in chosen for s in found[c]]), np.array([x for c in chosen for x in found[c].values()]))
-    width, retained, dist = tree.width, set(), {}
-    for d, c in sorted(chosen):
-        parent = dist[d - 1, c & (1 << 8 * (d - 1)) - 1] if d else defaultdict(lambda: 1 / width)
-        own, total = found[d, c], sum(found[d, c].values())
-        gain = sum(x * math.log(x / total / parent[s]) for s, x in own.items())
-        if d == 0 or gain >= 0.5 * len(own) * math.log(max(total, 2)):
-            retained.add((d, c))
-            symbols = set(own) | set(found[0, 0])
-            dist[d, c] = defaultdict(lambda: 0.0, {s: (own[s] + len(own) * parent[s]) / (total + len(own)) for s in symbols})
-        else:
-            dist[d, c] = parent
-    assert tree.retained == len(retained)
-    got = tree.token_logs(docs).tolist()
-    want = []
-    for doc in docs:
-        data = suffix_tree.stream(doc)
-        logs = []
-        for i in range(suffix_tree.DEPTH, len(data)):
-            d = next(d for d in range(suffix_tree.DEPTH, -1, -1) if (d, int.from_bytes(data[i - d : i])) in dist)
-            logs.append(math.log10(dist[d, int.from_bytes(data[i - d : i])][data[i]]))
-            if data[i] in (suffix_tree.SPACE, suffix_tree.END):
-                want.append(sum(logs))
-                logs = []
-    assert np.allclose(got, want, atol=1e-4)
-
-
-def test_scores_are_those_of_the_whole_tree(spark):
+def plain_scores(rows, common):
+    """Each row's score by the model's definition, word by word; ``common`` words are symbols of their own."""
+    docs = [[*words(t), ""] for _, t in rows]
+    train = [d for (i, _), d in zip(rows, docs) if not lm_score.held_out(i)]
+    counts = Counter(w for d in train for w in d)
+    digest = lambda w: lm_score.xxhash.xxh3_64_intdigest(w.encode())
+    symbol = lambda w: w if w in common else digest(w) >> 64 - lm_score.CLASS_BITS
+    grams = defaultdict(Counter)
+    for d in train:
+        s = [symbol(""), symbol(""), *map(symbol, d)]
+        for k in range(2, len(s)):
+            for depth in range(3):
+                grams[tuple(s[k - depth : k])][s[k]] += 1
+    alphabet = len(common) + lm_score.CLASSES
+
+    def p(context, x):
+        own = grams[context]
+        total, types = sum(own.values()), len(own)
+        if not context:
+            return (own[x] + types / alphabet) / (total + types) if types else 1 / alphabet
+        parent = p(context[1:], x)
+        gain = 0.0
+        for y, n in own.items():
+            below, others = p(context[1:], y), types - (n == 1)
+            if total > 1:
+                gain += n * math.log((n - 1 + others * below) / (total - 1 + others) / below)
+        return (own[x] + types * parent) / (total + types) if gain > 0 else parent
+
+    out = []
+    for (i, _), d in zip(rows, docs):
+        s, total = [symbol(""), symbol(""), *map(symbol, d)], 0.0
+        for k, w in enumerate(d, 2):
+            total += math.log10(p((s[k - 2], s[k - 1]), s[k]))
+            if w not in common:
+                mine = [n for u, n in counts.items() if u not in common and symbol(u) == symbol(w)]
+                total += math.log10((counts[w] + 1) / (sum(mine) + len(mine) + 1))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("common", "grams"), [(49_152, 1_000_000), (3, 1_000_000), (6, 150)])
+def test_scores_are_those_of_the_plain_model(spark, common, grams):
+    """With all words common, with most in classes, and with symbols that are dealt out to several buckets."""
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "cab", "ü"]) if rng.random() < 0.9 else f"{rng.choice('xyz')}{rng.randint(0, 99)}" for _ in range(rng.randint(0, 40)))) for i in range(120)]
-    held = [lm_score.held_out(i) for i, _ in rows]
-    docs = [words(t) for _, t in rows]
-    keys, n = suffix_tree.grams(*suffix_tree.joined([d for d, h in zip(docs, held) if not h]))
-    found = defaultdict(Counter)
-    for key, count in zip(keys.tolist(), n.tolist(), strict=True):
-        for d in range(suffix_tree.DEPTH + 1):
-            found[d, key >> 8 & (1 << 8 * d) - 1][key & 255] += count
-    chosen = [c for c in found if sum(found[c].values()) >= lm_score.LEAST]
-    starts = np.cumsum([0, *(len(found[c]) for c in chosen)])
-    tree = suffix_tree.SuffixTree(np.array([d for d, _ in chosen]), np.array([c for _, c in chosen]), starts, np.array([s for c in chosen for s in found[c]]), np.array([x for c in chosen for x in found[c].values()]))
-    counts = Counter(w for d, h in zip(docs, held) if not h for w in [*d, ""])
-    total = sum(counts.values()) + len(counts) + 1
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "Cab", "ü"]) if rng.random() < 0.9 else f"{rng.choice('xyz')}{rng.randint(0, 99)}" for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += [(i, "ab ba abc x1 y2 unheard of") for i in (200, 201, 202)]
+    counts = Counter(w for i, t in rows if not lm_score.held_out(i) for w in [*words(t), ""])
+    chosen = set()
+    for step in sorted(set(lm_score.steps(np.array(list(counts.values())))), reverse=True):
+        more = {w for w in counts if lm_score.steps(np.array([counts[w]]))[0] >= step}
+        if len(more) > common:
+            break
+        chosen = more
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, max_states=50, common_words=5).collect()}
-    for (i, _), d in zip(rows, docs):
-        logs = tree.token_logs([d])
-        want = sum(math.log10(lm_score.UNIGRAM * (counts[w] + 1) / total + (1 - lm_score.UNIGRAM) * 10**x) for w, x in zip([*d, ""], logs))
-        assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-4), i
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, common, words=40, grams=grams).collect()}
+    assert got == pytest.approx(dict(zip((i for i, _ in rows), plain_scores(rows, chosen))), rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 6, 400).astype(np.uint16)
+    keys, n = np.unique(suffix_tree.contexts(symbols, np.array([100, 0, 300]), 0), return_counts=True)
+    counts = np.bincount(symbols, minlength=suffix_tree.SYMBOLS)
+    base = suffix_tree.root(counts, 10)
+    every = np.array([a << 32 | b << 16 | x for a in range(6) for b in range(6) for x in range(10)], dtype=np.uint64)
+    full = np.zeros(len(every), dtype=np.int64)
+    full[np.searchsorted(every, keys)] = n
+    tree = suffix_tree.Grams(every, full, base)
+    level = np.zeros((3, suffix_tree.SYMBOLS), dtype=np.int64)
+    level[:, tree.nearest] = tree.total, tree.types, tree.kept
+    p = suffix_tree.probabilities(every, base, (level[0], level[1], level[2] > 0), tree.pair_count, tree.deep, tree.deep_total[tree.deep], tree.deep_types[tree.deep], tree.count[tree.deep])
+    assert np.allclose(p.reshape(36, 10).sum(axis=1), 1)
+
+
+def test_counts_in_steps():
+    n = np.array([1, 2, 3, 63, 64, 65, 127, 128, 129, 130, 2**40, 2**40 + 2**34, 2**50 - 1])
+    found = lm_score.steps(n)
+    assert (np.diff(found) >= 0).all() and len(set(found.tolist())) == len(n) - 1 and found[7] == found[8]
 
 
 def test_language_stage_rejects_foreign_and_garbage_text(spark):
