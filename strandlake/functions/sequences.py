@@ -13,6 +13,8 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD_BASES = 31
 #: Matches of at most so many bases are stored as bases, longer ones as a reference to the index.
 LITERAL_BASES = 11
+#: A packed token's bases stay below this, its rank below 2^32; a literal's flag 64 says that its bases have four bits each.
+TOKEN_BASES, ESCAPED = 1 << 24, 64
 
 
 def normalize(seq: Column) -> Column:
@@ -57,11 +59,23 @@ def rechunk(seq: Column, size: int = WORD_BASES) -> Column:
     return F.when(seq == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(seq, F.lit(f".{{1,{size}}}"), 0))
 
 
+def pack_4bit(seq: Column) -> Column:
+    """Bases of any code as a long, four bits each, the first base lowest; null for anything else."""
+    digits = F.translate(F.reverse(seq), IUPAC, "0123456789ABCDEF")
+    return F.when(seq.rlike(f"^[{IUPAC}]{{1,{LITERAL_BASES}}}$"), F.conv(digits, 16, 10).cast("long"))
+
+
 def pack_token(is_literal: Column, rank: Column, length: Column, first: Column, literal: Column) -> Column:
-    """A token as a long. Top byte: bit 0 first, bit 1 literal, then a literal's length. Below: rank and length, or bases."""
-    reference = rank.bitwiseOR(F.shiftleft(length.cast("long"), 32)).bitwiseOR(F.shiftleft(first.cast("long"), 56))
+    """A token as a long, null where it has no such form. Top byte: bit 0 first, bit 1 literal, then a literal's length, then ESCAPED.
+
+    Below: rank and length, or bases.
+    """
+    fits = (rank >= 0) & (rank < 1 << 32) & (length < TOKEN_BASES)
+    reference = F.when(fits, rank.bitwiseOR(F.shiftleft(length.cast("long"), 32)).bitwiseOR(F.shiftleft(first.cast("long"), 56)))
     flags = (first.cast("long") + 2).bitwiseOR(F.shiftleft(length.cast("long"), 2))
-    return F.when(is_literal, pack_2bit(literal).bitwiseOR(F.shiftleft(flags, 56))).otherwise(reference)
+    plain = pack_2bit(literal).bitwiseOR(F.shiftleft(flags, 56))
+    escaped = pack_4bit(literal).bitwiseOR(F.shiftleft(flags.bitwiseOR(ESCAPED), 56))
+    return F.when(is_literal, F.when(length <= LITERAL_BASES, F.coalesce(plain, escaped))).otherwise(reference)
 
 
 def token_flags(word: Column) -> Column:
@@ -75,11 +89,14 @@ def token_rank(word: Column) -> Column:
 def token_length(word: Column) -> Column:
     flags = token_flags(word)
     reference = F.shiftrightunsigned(word, 32).bitwiseAND(0xFFFFFF).cast("int")
-    return F.when(flags.bitwiseAND(2) == 2, F.shiftright(flags, 2)).otherwise(reference)
+    return F.when(flags.bitwiseAND(2) == 2, F.shiftright(flags, 2).bitwiseAND(15)).otherwise(reference)
 
 
 def token_literal(word: Column) -> Column:
-    return unpack_2bit(word.bitwiseAND((1 << 56) - 1), token_length(word))
+    below, length = word.bitwiseAND((1 << 56) - 1), token_length(word)
+    digits = F.lpad(F.conv(below.cast("string"), 10, 16), length, F.lit("0"))
+    escaped = F.reverse(F.translate(digits, "0123456789ABCDEF", IUPAC))
+    return F.when(token_flags(word).bitwiseAND(ESCAPED) == ESCAPED, escaped).otherwise(unpack_2bit(below, length))
 
 
 def register(spark: SparkSession) -> None:

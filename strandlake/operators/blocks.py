@@ -37,8 +37,9 @@ class Header(NamedTuple):
     exponent: int = EXPONENT
 
 
-def encode_file_header() -> bytes:
-    return FILE_HEADER.pack(0, 0, 0, 0)
+def encode_file_header(fingerprint: int = 0) -> bytes:
+    """A file's header; the index's fingerprint is 0 where none is known."""
+    return FILE_HEADER.pack(0, 0, 0, fingerprint)
 
 
 def decode_file_header(data: bytes) -> tuple[int, int, int, int]:
@@ -62,13 +63,17 @@ def with_block(df: DataFrame, records: int = RECORDS) -> DataFrame:
     return df.withColumn("block_id", F.expr(f"(record_no - 1) div {records}"))
 
 
+def literal_sizes(flags: np.ndarray) -> np.ndarray:
+    """How many two-bit digits literals have: one for each base, or two if they are escaped."""
+    return ((flags >> np.uint64(2) & np.uint64(15)) << (flags >> np.uint64(6) & np.uint64(1))).astype(np.int64)
+
+
 def streams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     flags = words >> np.uint64(56)
     literal = flags & np.uint64(2) == 2
     refs = words[~literal]
-    sizes = (flags[literal] >> np.uint64(2)).astype(np.int64)
-    own = words[literal]
-    bases = np.concatenate([(own[:, None] >> np.arange(0, 2 * LITERAL_BASES, 2, dtype=np.uint64)[None] & np.uint64(3))[np.arange(LITERAL_BASES)[None] < sizes[:, None]], np.zeros(0, dtype=np.uint64)])
+    sizes, own, most = literal_sizes(flags[literal]), words[literal], 2 * LITERAL_BASES
+    bases = np.concatenate([(own[:, None] >> np.arange(0, 2 * most, 2, dtype=np.uint64)[None] & np.uint64(3))[np.arange(most)[None] < sizes[:, None]], np.zeros(0, dtype=np.uint64)])
     chunks = np.pad(bases, (0, -len(bases) % WORD_BASES)).reshape(-1, WORD_BASES)
     packed = (chunks << np.arange(0, 2 * WORD_BASES, 2, dtype=np.uint64)[None]).sum(axis=1, dtype=np.uint64)
     return refs & np.uint64(0xFFFFFFFF), refs >> np.uint64(32) & np.uint64(0xFFFFFF), flags, packed
@@ -81,7 +86,7 @@ def zipped(ranks: np.ndarray, lengths: np.ndarray, flags: np.ndarray, packed: np
         raise DecodeError("streams of different lengths")
     out = flags << np.uint64(56)
     out[~literal] |= ranks | lengths << np.uint64(32)
-    sizes = (flags[literal] >> np.uint64(2)).astype(np.int64)
+    sizes = literal_sizes(flags[literal])
     bases = (packed[:, None] >> np.arange(0, 2 * WORD_BASES, 2, dtype=np.uint64)[None] & np.uint64(3)).ravel()
     if len(bases) < sizes.sum():
         raise DecodeError("a literal stream ends early")
@@ -148,6 +153,17 @@ def read_blocks(blocks: DataFrame, records: int = RECORDS) -> DataFrame:
     return blocks.select("block_id", "payload").mapInArrow(run, WORDS)
 
 
+def zipped_streams(packed: DataFrame, records: int = RECORDS) -> DataFrame:
+    """(record_no, tok_no, word): each block's tokens taken apart into whole streams and put together from them again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("record_no", "ascending"), ("tok_no", "ascending")])
+        words = zipped(*streams(table.column("word").to_numpy().view(np.uint64)))
+        return table.select(["record_no", "tok_no"]).append_column("word", pa.array(words.view(np.int64)))
+
+    return with_block(packed, records).groupBy("block_id").applyInArrow(run, "record_no long, tok_no int, word long")
+
+
 def as_tokens(packed: DataFrame) -> DataFrame:
     """Packed tokens as ``decode.decode`` takes them."""
     word = F.col("word")

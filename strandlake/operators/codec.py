@@ -43,10 +43,6 @@ def put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, widths: np.ndarray
         bits[at[rows] + k] = values[rows] >> (widths[rows] - 1 - k).astype(values.dtype) & values.dtype.type(1)
 
 
-def take(values: np.ndarray, at: int, width: int) -> int:
-    return int.from_bytes(np.packbits(np.pad(values[at : at + width], (-width % 8, 0))).tobytes()) if width else 0
-
-
 def rice_parameter(ints: np.ndarray) -> int:
     """The smallest parameter of least total size."""
     return min(range(33), key=lambda b: (int((ints >> np.uint64(b)).sum()) + len(ints) * (1 + b), b)) if len(ints) else 0
@@ -63,17 +59,30 @@ def rice_encode(ints: np.ndarray) -> tuple[np.ndarray, int]:
     return to_words(bits), b
 
 
+def numbers(bits: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The numbers of ``width`` bits from each place on; behind the end all bits are 0."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(width):
+        here = at + k
+        out = out << np.uint64(1) | np.where(here < len(bits), bits[np.minimum(here, len(bits) - 1)], 0).astype(np.uint64) if len(bits) else out
+    return out
+
+
 def rice_decode(words: np.ndarray, n: int, b: int) -> np.ndarray:
-    bits, out, at = to_bits(words), np.empty(n, dtype=np.uint64), 0
-    ones = np.flatnonzero(bits)
+    bits = to_bits(words)
+    ones = np.append(np.flatnonzero(bits), len(bits))
+    # The next one from each place on; only the walk from value to value is a loop.
+    following = memoryview(ones[np.searchsorted(ones, np.arange(len(bits) + 1))])
+    at, stops, end = 0, np.empty(n, dtype=np.int64), len(bits)
     for i in range(n):
-        k = np.searchsorted(ones, at)
-        if k == len(ones):
+        if at >= end or (stop := following[at]) >= end:
             raise DecodeError("a Rice stream ends early")
-        stop = int(ones[k])
-        out[i] = (stop - at) << b | take(bits, stop + 1, b)
+        stops[i] = stop
         at = stop + 1 + b
-    return out
+    if at > end:
+        raise DecodeError("a Rice stream ends early")
+    starts = np.append(0, stops[:-1] + 1 + b) if n else stops
+    return (stops - starts).astype(np.uint64) << np.uint64(b) | numbers(bits, stops + 1, b)
 
 
 def bound(ints: np.ndarray) -> int:
@@ -95,19 +104,23 @@ def minimal_binary_encode(ints: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def minimal_binary_decode(words: np.ndarray, n: int, u: int) -> np.ndarray:
-    bits, out, at = to_bits(words), np.empty(n, dtype=np.uint64), 0
+    bits = to_bits(words)
     low = u.bit_length() - 1
     limit = (2 << low) - u
+    short = numbers(bits, np.arange(len(bits)), low)
+    longer = memoryview((short >= np.uint64(limit)).view(np.uint8))
+    at, starts, end = 0, np.empty(n, dtype=np.int64), len(bits)
     for i in range(n):
-        if at + low > len(bits):
+        if at + low > end or (low and at >= end):
             raise DecodeError("a minimal binary stream ends early")
-        value = take(bits, at, low)
-        at += low
-        if value >= limit:
-            value = (value << 1 | int(bits[at])) - limit
-            at += 1
-        out[i] = value - 1
-    return out
+        starts[i] = at
+        at += low + longer[at] if at < end else low
+    if at > end:
+        raise DecodeError("a minimal binary stream ends early")
+    if not len(bits):
+        return np.zeros(n, dtype=np.uint64)
+    value = short[np.minimum(starts, end - 1)]
+    return np.where(value >= np.uint64(limit), (value << np.uint64(1) | numbers(bits, starts + low, 1)) - np.uint64(limit), value) - np.uint64(1)
 
 
 def deflate(data: bytes) -> bytes:

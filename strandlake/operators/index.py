@@ -22,9 +22,9 @@ def both_strands(refs: DataFrame) -> DataFrame:
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer) of every position; windows with anything but bases are left out."""
-    starts = F.sequence(F.lit(1), F.length("seq") - k + 1)
-    found = seqs.where(F.length("seq") >= k).select(F.explode(F.transform(starts, lambda p: F.substring("seq", p, F.lit(k)))).alias("kmer"))
-    return found.where(F.col("kmer").rlike("^[ACGT]+$"))
+    runs = seqs.select(F.explode(F.split("seq", "[^ACGT]+")).alias("run")).where(F.length("run") >= k)
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("p"))
+    return at.select(F.substring("run", F.col("p"), F.lit(k)).alias("kmer"))
 
 
 def kmer_set(refs: DataFrame, k: int, add_revcomp: bool = True) -> DataFrame:
@@ -54,14 +54,13 @@ def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
     placed = materialised(placed)
     part = F.shiftright("__at", 33)
-    before, offsets = 0, {}
+    before, offsets = 0, []
     for row in sorted(placed.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
-        offsets[row["p"]] = before
+        offsets.append((row["p"], before))
         before += row["count"]
-    if not offsets:
-        return placed.drop("__at").withColumn(name, F.lit(0).cast("long"))
-    table = F.create_map(*(F.lit(x).cast("long") for pair in offsets.items() for x in pair))
-    return placed.withColumn(name, F.element_at(table, part) + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+    firsts = df.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    joined = placed.withColumn("__part", part).join(F.broadcast(firsts), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
 
 
 def build(refs: DataFrame, k: int, add_revcomp: bool = True) -> DataFrame:

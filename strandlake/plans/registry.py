@@ -46,26 +46,16 @@ def seq_revcomp(spark, d):
     return reads(spark, d).select("record_no", S.reverse_complement(F.col("seq")).alias("revcomp"))
 
 
-def pack_2bit(spark, d):
-    head = F.left("seq", F.lit(S.WORD_BASES))
-    return reads(spark, d).select("record_no", S.pack_2bit(head).alias("word"))
-
-
-def unpack_2bit(spark, d):
-    head = F.left("seq", F.lit(S.WORD_BASES))
-    return reads(spark, d).select("record_no", S.unpack_2bit(S.pack_2bit(head), F.length(head)).alias("bases"))
-
-
 def chunks(spark, d):
     """Whole reads in pieces of WORD_BASES; an empty read has none."""
     return reads(spark, d).select("record_no", F.posexplode(S.rechunk(F.col("seq"))).alias("chunk", "bases"))
 
 
-def pack_2bit_whole(spark, d):
+def pack_2bit(spark, d):
     return chunks(spark, d).select("record_no", "chunk", S.pack_2bit(F.col("bases")).alias("word"))
 
 
-def unpack_2bit_whole(spark, d):
+def unpack_2bit(spark, d):
     packed = chunks(spark, d).select("record_no", "chunk", S.pack_2bit(F.col("bases")).alias("word"), F.length("bases").alias("n"))
     pieces = packed.select("record_no", F.struct("chunk", S.unpack_2bit(F.col("word"), F.col("n")).alias("bases")).alias("piece"))
     joined = pieces.groupBy("record_no").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
@@ -106,15 +96,11 @@ def kmer_miss(spark, d):
 
 
 def access_kmer(spark, d):
-    asked = nodes(spark, d).where("not is_dummy").select("rank")
-    return match.access(nodes(spark, d), asked)
+    built = nodes(spark, d)
+    return match.access(built, built.where("not is_dummy").select("rank"))
 
 
 def suffix_interval(spark, d):
-    return match.intervals(nodes(spark, d), 9, 12).select(F.reverse("reversed").alias("suffix"), "lo", "hi")
-
-
-def suffix_interval_all(spark, d):
     return match.intervals(nodes(spark, d), 1, K).select(F.reverse("reversed").alias("suffix"), "lo", "hi")
 
 
@@ -131,20 +117,15 @@ def left_extend(spark, d):
 
 
 def matching_statistics(spark, d):
-    built = nodes(spark, d)
-    stats = match.with_intervals(match.matching_statistics(built, reads(spark, d), K), built, K)
-    return stats.select("record_no", "pos", "ms", "lo", "hi")
+    return match.matching_statistics(nodes(spark, d), reads(spark, d), K).select("record_no", "pos", "ms", "lo", "hi")
 
 
 def ext_run(spark, d):
-    built = nodes(spark, d)
-    return tokens.extension_runs(match.matching_statistics(built, reads(spark, d), K), built, K).select("record_no", "pos", "run")
+    return tokens.extension_runs(nodes(spark, d), reads(spark, d), K).select("record_no", "pos", "run")
 
 
 def token_len(spark, d):
-    built = nodes(spark, d)
-    runs = tokens.extension_runs(match.matching_statistics(built, reads(spark, d), K), built, K)
-    return tokens.token_lengths(runs, K).select("record_no", "pos", "tok_len")
+    return tokens.extension_runs(nodes(spark, d), reads(spark, d), K).select("record_no", "pos", "tok_len")
 
 
 def tokenize(spark, d):
@@ -181,10 +162,7 @@ def minbin_size(spark, d):
 
 
 def zip_streams(spark, d):
-    streams = tokens.split_streams(tokens.pack(parsed(spark, d)[1]))
-    literal = F.col("flags").bitwiseAND(2) == 2
-    word = S.pack_token(literal, F.col("rank"), F.coalesce(F.col("length"), F.length("literal")), F.col("flags").bitwiseAND(1) == 1, F.col("literal"))
-    return streams.select("record_no", "tok_no", word.alias("word"))
+    return blocks.zipped_streams(tokens.pack(parsed(spark, d)[1]), 256)
 
 
 def token_check(spark, d):
@@ -230,11 +208,17 @@ def random_nucleotide(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), base), "").alias("seq"))
 
 
-HELPERS = {"reads", "references", "chunks", "nodes", "read_kmers", "parsed", "queries", "oracle_sql", "flagship", "table", "materialised"}
+QUERIES = (
+    *(seq_normalize, seq_revcomp, pack_2bit, unpack_2bit, suffix_slice, input_union),
+    *(kmer_distinct, dummy_nodes, colex_rank, lcs_array, kmer_search, kmer_miss, access_kmer, suffix_interval),
+    *(in_degree, unique_pred, left_extend, matching_statistics, ext_run, token_len),
+    *(tokenize, token_pack, split_streams, literal_rechunk, block_assign, rice_param_size, minbin_size, zip_streams, token_check),
+    *(legacy_token_view, decode_tokens, roundtrip, fasta_render, gzip_roundtrip, random_nucleotide),
+)
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if getattr(f, "__module__", "") == __name__ and callable(f) and n not in HELPERS}
+    return {f.__name__: f for f in QUERIES}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -280,21 +264,18 @@ def oracle_sql() -> dict[str, str]:
         "seq_normalize": r"""select doc_id, md5(regexp_replace(translate(regexp_replace(text, '[\t-\r ]', '', 'g'),
             'abcdefghijklmnopqrstuvwxyzU.~', 'ABCDEFGHIJKLMNOPQRSTTVWXYZT--'), '[^ACGTNBDHVRYSWKM-]', 'N', 'g')) as seq_md5 from documents""",
         "seq_revcomp": WITH + "select record_no, translate(reverse(seq), 'ACGT', 'TGCA') as revcomp from reads",
-        "pack_2bit": WITH + f"select record_no, {packed_sql('left(seq, 31)')} as word from reads",
-        "unpack_2bit": WITH + "select record_no, left(seq, 31) as bases from reads",
-        "pack_2bit_whole": WITH + f", c as (select record_no, unnest(range(0, (length(seq) + 30) // 31)) as chunk, seq from reads) select record_no, chunk, {packed_sql('substr(seq, 31 * chunk + 1, 31)')} as word from c",
-        "unpack_2bit_whole": WITH + "select record_no, seq as bases from reads",
+        "pack_2bit": WITH + f", c as (select record_no, unnest(range(0, (length(seq) + 30) // 31)) as chunk, seq from reads) select record_no, chunk, {packed_sql('substr(seq, 31 * chunk + 1, 31)')} as word from c",
+        "unpack_2bit": WITH + "select record_no, seq as bases from reads",
         "suffix_slice": WITH + "select kmer, right(kmer, 7) as suffix from rk",
         "input_union": WITH + "select length(seq) as bases, count(*) as n from refs group by 1",
         "kmer_distinct": WITH + "select kmer from kset",
         "dummy_nodes": WITH + "select kmer from dum",
         "colex_rank": WITH + "select rank, kmer, is_dummy from idx",
-        "lcs_array": WITH + f"select a.rank, coalesce(len(list_filter(range(1, {K + 1}), lambda i: left(a.rkmer, i) = left(b.rkmer, i))), 0) as lcs from idx a left join idx b on b.rank = a.rank - 1",
+        "lcs_array": WITH + f"select a.rank, coalesce(len(list_filter(range(1, {K + 1}), lambda i: left(a.rkmer, i) = left(a.before, i))), 0) as lcs from (select rank, rkmer, lag(rkmer) over (order by rank) as before from idx) a",
         "kmer_search": WITH + "select kmer, rank from rk join idx using (kmer) where not is_dummy",
         "kmer_miss": WITH + "select kmer from rk where kmer not in (select kmer from kset)",
         "access_kmer": WITH + "select rank, kmer from idx where not is_dummy",
-        "suffix_interval": WITH + "select reverse(r) as suffix, lo, hi from iv where length(r) between 9 and 12",
-        "suffix_interval_all": WITH + "select reverse(r) as suffix, lo, hi from iv",
+        "suffix_interval": WITH + "select reverse(r) as suffix, lo, hi from iv",
         "in_degree": WITH + "select rank, indeg from prec",
         "unique_pred": WITH + "select rank, p as pred from prec where indeg = 1",
         "left_extend": WITH + f", hop(rank, here, n) as (select rank, p, 1 from prec where indeg = 1 union all select h.rank, p.p, h.n + 1 from hop h join prec p on p.rank = h.here and p.indeg = 1 where h.n < {K}) select rank, here as \"to\" from hop where n = {K}",

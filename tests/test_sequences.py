@@ -112,12 +112,56 @@ def test_extension_stops_where_two_paths_meet(spark):
     assert tokens.tokenize(built, frame(spark, ["ACCCTT" + tail]), k).agg(F.sum("len")).first()[0] == 20
 
 
-def test_an_unknown_base_has_no_packed_form(spark):
+def test_other_codes_are_escaped_in_packed_tokens(spark):
     built = index.build(frame(spark, ["ACGTACGTTGCA"]), 4)
-    found = tokens.tokenize(built, frame(spark, ["ACGNACG"]), 4)
-    assert decode.decode(found, built, 4).first()["seq"] == "ACGNACG"
-    with pytest.raises(Exception, match="no packed form"):
-        tokens.pack(found).collect()
+    reads = ["ACGNACG", "RYSWKMBDHV-NN", "N", ""]
+    packed = tokens.pack(tokens.tokenize(built, frame(spark, reads), 4))
+    assert decode.decode(blocks.as_tokens(packed), built, 4).orderBy("record_no").select("seq").collect() == [(s,) for s in reads]
+    stored = blocks.write_blocks(packed, 2)
+    out = decode.decode(blocks.as_tokens(blocks.read_blocks(stored, 2)), built, 4)
+    assert [r["seq"] for r in out.orderBy("record_no").collect()] == reads
+
+
+@pytest.mark.parametrize(("rank", "length", "fits"), [(2**32 - 1, 2**24 - 1, True), (2**32, 30, False), (5, 2**24, False), (-1, 30, False), (None, 30, False)])
+def test_ranks_and_lengths_beyond_their_fields_are_errors(spark, rank, length, fits):
+    found = spark.createDataFrame([(1, 0, length, rank, False, True, None)], "record_no long, tok_no int, len int, rank long, is_literal boolean, first boolean, literal string")
+    if fits:
+        assert tokens.split_streams(tokens.pack(found)).first()[2:5] == (1, rank, length)
+    else:
+        with pytest.raises(Exception, match="no packed form"):
+            tokens.pack(found).collect()
+
+
+def test_matching_over_many_blocks_and_shares(spark, monkeypatch):
+    """Blocks of 16 ranks and shares of some positions give what one block gives."""
+    rng, k = random.Random(12), 9
+    refs = [sequence(rng, 300), "ACACACACAC" * 6, "A" * 40]
+    reads = [sequence(rng, 70), refs[0][40:120] + "N" + refs[1][:30], "A" * 50, "ACAC" * 9, "TTG", ""]
+    built = index.build(frame(spark, refs), k)
+    whole = [match.matching_statistics(built, frame(spark, reads), k).orderBy("record_no", "pos").collect(), tokens.tokenize(built, frame(spark, reads), k).orderBy("record_no", "tok_no").collect(), sorted(match.intervals(built, 1, k).collect())]
+    monkeypatch.setattr(match, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(match, "SALT_ROWS", 10)
+    cut = [match.matching_statistics(built, frame(spark, reads), k).orderBy("record_no", "pos").collect(), tokens.tokenize(built, frame(spark, reads), k).orderBy("record_no", "tok_no").collect(), sorted(match.intervals(built, 1, k, rows=16).collect())]
+    assert built.count() > 300 and cut == whole
+    suffixes = {(p, i) for i, r in enumerate(built.orderBy("rank").collect()) for n in range(1, k + 1) if "$" not in (p := r["rkmer"][:n])}
+    want = {}
+    for p, i in suffixes:
+        lo, hi = want.get(p, (i, i))
+        want[p] = min(lo, i), max(hi, i)
+    assert {r["reversed"]: (r["lo"], r["hi"]) for r in whole[2]} == {p: (lo, hi + 1) for p, (lo, hi) in want.items()}
+
+
+def test_small_batches_carry_reads_on(spark):
+    rng, k = random.Random(13), 7
+    refs = [sequence(rng, 400)]
+    reads = [refs[0][30:390], sequence(rng, 100), refs[0][:200] + "N" + refs[0][100:]]
+    built = index.build(frame(spark, refs), k)
+    whole = tokens.tokenize(built, frame(spark, reads), k).orderBy("record_no", "tok_no").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert tokens.tokenize(built, frame(spark, reads), k).orderBy("record_no", "tok_no").collect() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -146,6 +190,13 @@ def test_damaged_blocks_are_errors():
             blocks.decode_block(bad)
     with pytest.raises(codec.EncodeError):
         blocks.encode_block(np.empty(0, dtype=np.uint64), 0)
+    words = np.array([3 << 56 | i % 4 << 58 | i % 4 for i in range(50)], dtype=np.uint64)
+    coded, b = codec.rice_encode(words >> np.uint64(56))
+    with pytest.raises(codec.DecodeError):
+        codec.rice_decode(coded[:-1], 50, b)
+    coded, u = codec.minimal_binary_encode(words >> np.uint64(50))
+    with pytest.raises(codec.DecodeError):
+        codec.minimal_binary_decode(coded[:-1], 50, u)
     assert len(blocks.encode_file_header()) == blocks.BLOCK_HEADER.size == 32
 
 
