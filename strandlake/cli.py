@@ -49,9 +49,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.verb == "encode":
         nodes, k = fastx.load_index(spark, args.index)
         reads = fastx.read_sequences(spark, [args.query])
-        sinks.save_encoded(blocks.write_blocks(tokens.pack(tokens.tokenize(nodes, reads, k))), args.output)
+        sinks.save_encoded(blocks.write_blocks(tokens.pack(tokens.tokenize(nodes, reads, k))), args.output, fastx.stored_fingerprint(spark, args.index))
     else:
         nodes, k = fastx.load_index(spark, args.index)
+        fastx.check_fingerprint(args.input, fastx.stored_fingerprint(spark, args.index))
         packed = fastx.read_encoded(spark, args.input, blocks.RECORDS)
         sinks.save_fasta(decode.decode(blocks.as_tokens(packed), nodes, k), args.output)
     log.info("%s done", args.verb)

@@ -10,7 +10,7 @@ from strandlake.operators.index import doubled, hops, predecessors
 from strandlake.storage import materialised
 
 
-def long_pieces(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def long_pieces(tokens: DataFrame, preds: DataFrame, k: int) -> DataFrame:
     """(record_no, tok_no, part, rank): the k-mers that tokens longer than k are made of, part 0 being the stored one.
 
     A token of k q + 1 bases has q whole k-mers, k unique predecessors apart. Their ranks are found by halving: with
@@ -21,7 +21,7 @@ def long_pieces(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
     most = runs.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if most <= 1:
         return runs.drop("n")
-    powers = [hops(predecessors(index, k), k)]
+    powers = [hops(preds, k)]
     while 2 << (len(powers) - 1) < most:
         powers.append(materialised(doubled(powers[-1])))
     for i in range(len(powers) - 1, -1, -1):
@@ -32,15 +32,17 @@ def long_pieces(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return runs.drop("n")
 
 
-def segments(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(record_no, tok_no, segment): the bases of each token."""
+def segments(tokens: DataFrame, index: DataFrame, k: int, preds: DataFrame | None = None) -> DataFrame:
+    """(record_no, tok_no, segment): the bases of each token; preds: the index's ``predecessors``, if they are at hand."""
+    preds = materialised(predecessors(index, k)) if preds is None else preds
+    tokens = materialised(tokens)  # it has four uses; packed blocks would be decoded for each
     literal = tokens.where("is_literal").select("record_no", "tok_no", F.col("literal").alias("segment"))
     kmer = index.select("rank", "kmer")
     short = tokens.where((F.col("len") <= k) & ~F.col("is_literal")).join(kmer, "rank").select("record_no", "tok_no", F.right("kmer", F.col("len")).alias("segment"))
-    pieces = long_pieces(tokens, index, k)
+    pieces = long_pieces(tokens, preds, k)
     # Before the last whole k-mer stands one base: that of its only predecessor's k-mer.
     ends = pieces.groupBy("record_no", "tok_no").agg(F.max_by("rank", "part").alias("rank"), (F.max("part") + 1).alias("part"))
-    heads = ends.join(predecessors(index, k).where("pred is not null").select("rank", "pred"), "rank").select("record_no", "tok_no", "part", F.col("pred").alias("rank"))
+    heads = ends.join(preds.where("pred is not null").select("rank", "pred"), "rank").select("record_no", "tok_no", "part", F.col("pred").alias("rank"))
     whole = pieces.join(kmer, "rank").select("record_no", "tok_no", "part", F.col("kmer").alias("s"))
     head = heads.join(kmer, "rank").select("record_no", "tok_no", "part", F.left("kmer", F.lit(1)).alias("s"))
     ordered = F.sort_array(F.collect_list(F.struct("part", "s")), asc=False)
@@ -48,10 +50,10 @@ def segments(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return literal.unionAll(short).unionAll(long)
 
 
-def decode(tokens: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def decode(tokens: DataFrame, index: DataFrame, k: int, preds: DataFrame | None = None) -> DataFrame:
     """(record_no, seq) of all records, from the right-to-left tokens."""
     ordered = F.sort_array(F.collect_list(F.struct("tok_no", "segment")), asc=False)
-    return segments(tokens, index, k).groupBy("record_no").agg(F.array_join(F.transform(ordered, lambda x: x["segment"]), "").alias("seq"))
+    return segments(tokens, index, k, preds).groupBy("record_no").agg(F.array_join(F.transform(ordered, lambda x: x["segment"]), "").alias("seq"))
 
 
 def token_view(packed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import common_prefix, reverse_complement
-from strandlake.storage import materialised
+from strandlake.storage import materialised, spread
 
 PAD = "$"
 
@@ -22,6 +22,7 @@ def both_strands(refs: DataFrame) -> DataFrame:
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer) of every position; windows with anything but bases are left out."""
+    seqs = spread(seqs.select("seq"))
     runs = seqs.select(F.explode(F.split("seq", "[^ACGT]+")).alias("run")).where(F.length("run") >= k)
     at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("p"))
     return at.select(F.substring("run", F.col("p"), F.lit(k)).alias("kmer"))
@@ -65,9 +66,9 @@ def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
 
 def build(refs: DataFrame, k: int, add_revcomp: bool = True) -> DataFrame:
     """(rank, kmer, rkmer, is_dummy) of all nodes."""
-    real = kmer_set(refs, k, add_revcomp)
+    real = materialised(kmer_set(refs, k, add_revcomp))  # else each of its four uses would count k-mers anew
     nodes = real.withColumn("is_dummy", F.lit(False)).unionAll(dummies(real, k).withColumn("is_dummy", F.lit(True)))
-    return ranked(nodes.withColumn("rkmer", F.reverse("kmer")), "rkmer").select("rank", "kmer", "rkmer", "is_dummy")
+    return ranked(materialised(nodes.withColumn("rkmer", F.reverse("kmer"))), "rkmer").select("rank", "kmer", "rkmer", "is_dummy")
 
 
 def with_lcs(index: DataFrame, k: int) -> DataFrame:

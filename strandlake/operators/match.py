@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import IUPAC, LITERAL_BASES
+from strandlake.storage import spread
 
 #: Ranks of a block at least; what is sent to all tasks is one key and 2 k prefixes of each of MOST_BLOCKS blocks at most.
 BLOCK_ROWS, MOST_BLOCKS = 65_536, 16_384
 #: Read positions of a block in one task, about; positions made at once.
-SALT_ROWS, CHUNK = 500_000, 100_000
+SALT_ROWS, CHUNK = 200_000, 100_000
 
 POSITIONS = "block int, salt int, record_no long, pos int, q binary"
 STATS = "record_no long, pos int, ms int, lo long, hi long, unique boolean, tail long"
@@ -160,7 +161,7 @@ def matching_statistics(index: DataFrame, reads: DataFrame, k: int, unique: Data
     edges: dict[bytes, tuple[int, int]] = {}
     if blocks > 1:
         edges = {r["reversed"].encode(): (r["lo"], r["hi"]) for r in intervals(index, 1, k, only_edges=True, rows=rows).collect()}
-    reads = reads.select(F.col("record_no").cast("long"), "seq").where("length(seq) > 0")
+    reads = spread(reads.select(F.col("record_no").cast("long"), "seq").where("length(seq) > 0"))
     sent = spark.sparkContext.broadcast((firsts, edges))
     wide = max(k, LITERAL_BASES)
 
@@ -191,7 +192,7 @@ def matching_statistics(index: DataFrame, reads: DataFrame, k: int, unique: Data
     marked = index.select("rank", "rkmer") if unique is None else index.select("rank", "rkmer").join(unique.select("rank", F.lit(True).alias("unique")), "rank", "left")
     keys = marked.select("rank", "rkmer", F.lit(False).alias("unique") if unique is None else F.coalesce("unique", F.lit(False)).alias("unique"), F.expr(f"cast(rank div {rows} as int)").alias("block"))
     salts = spark.createDataFrame([(b, s) for b in loads for s in range(int(shares[b]))], "block int, salt int")
-    spread = keys.join(F.broadcast(salts), "block")
+    salted = keys.join(F.broadcast(salts), "block")
 
     def run(asked: pa.Table, own: pa.Table) -> pa.Table:
         firsts, edges = sent.value
@@ -227,4 +228,4 @@ def matching_statistics(index: DataFrame, reads: DataFrame, k: int, unique: Data
         columns = [asked.column("record_no"), asked.column("pos"), pa.array(ms.astype(np.int32)), pa.array(lo, mask=none), pa.array(hi, mask=none), pa.array(single), pa.array(tail)]
         return pa.table(columns, names=[f.split()[0] for f in STATS.split(", ")])
 
-    return reads.mapInArrow(dealt, POSITIONS).groupBy("block", "salt").cogroup(spread.groupBy("block", "salt")).applyInArrow(run, STATS)
+    return reads.mapInArrow(dealt, POSITIONS).groupBy("block", "salt").cogroup(salted.groupBy("block", "salt")).applyInArrow(run, STATS)

@@ -28,13 +28,13 @@ def names(ddl: str) -> list[str]:
     return [f.split()[0] for f in ddl.split(", ")]
 
 
-def extension_runs(index: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+def extension_runs(index: DataFrame, reads: DataFrame, k: int, preds: DataFrame | None = None) -> DataFrame:
     """The statistics of all positions with (run, tok_len), sorted by read and position within partitions.
 
     run: how many positions in a row, up to this one, extend a match by its k-mer's only predecessor. tok_len: the length of the
     token that would end here, below the longest that a packed token holds; an unmatched base is a token of its own.
     """
-    unique = predecessors(index, k).where("indeg = 1").select("rank")
+    unique = (predecessors(index, k) if preds is None else preds).where("indeg = 1").select("rank")
     stats = matching_statistics(index, reads, k, unique)
     most = (S.TOKEN_BASES - 1) // k
 
@@ -66,7 +66,7 @@ def literals(tail: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(tail), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars[inside]))])
 
 
-def parse(runs: DataFrame, k: int) -> DataFrame:
+def parse(runs: DataFrame) -> DataFrame:
     """TOKENS of reads whose positions are together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +98,9 @@ def parse(runs: DataFrame, k: int) -> DataFrame:
     return runs.sortWithinPartitions("record_no", F.desc("pos")).mapInArrow(run, TOKENS)
 
 
-def tokenize(index: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """The tokens of reads (record_no, seq). An empty read is one literal token without bases."""
-    tokens = parse(extension_runs(index, reads, k), k)
+def tokenize(index: DataFrame, reads: DataFrame, k: int, preds: DataFrame | None = None) -> DataFrame:
+    """The tokens of reads (record_no, seq). An empty read is one literal token without bases; preds: the index's ``predecessors``, if at hand."""
+    tokens = parse(extension_runs(index, reads, k, preds))
     none, no = F.lit(None), F.lit(0)
     empty = reads.where("length(coalesce(seq, '')) = 0").select("record_no", no.alias("tok_no"), F.lit(-1).alias("pos"), no.alias("len"), no.alias("ms"), none.cast("long").alias("rank"), F.lit(True).alias("is_literal"), F.lit(True).alias("first"), F.lit("").alias("literal"))
     return tokens.unionAll(empty)

@@ -33,9 +33,11 @@ def read_kmers(spark: SparkSession, d: str) -> DataFrame:
     return index.kmers(reads(spark, d), K).distinct()
 
 
-def parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, tokens, predecessors)."""
     built = nodes(spark, d)
-    return built, materialised(tokens.tokenize(built, reads(spark, d), K))
+    preds = materialised(index.predecessors(built, K))
+    return built, materialised(tokens.tokenize(built, reads(spark, d), K, preds)), preds
 
 
 def seq_normalize(spark, d):
@@ -174,19 +176,19 @@ def legacy_token_view(spark, d):
 
 
 def decode_tokens(spark, d):
-    built, found = parsed(spark, d)
-    return decode.decode(found, built, K)
+    built, found, preds = parsed(spark, d)
+    return decode.decode(found, built, K, preds)
 
 
 def roundtrip(spark, d):
-    built, found = parsed(spark, d)
+    built, found, preds = parsed(spark, d)
     stored = materialised(blocks.write_blocks(tokens.pack(found), 256))
-    return decode.decode(blocks.as_tokens(blocks.read_blocks(stored, 256)), built, K)
+    return decode.decode(blocks.as_tokens(blocks.read_blocks(stored, 256)), built, K, preds)
 
 
 def fasta_render(spark, d):
-    built, found = parsed(spark, d)
-    return sinks.fasta(decode.decode(found, built, K))
+    built, found, preds = parsed(spark, d)
+    return sinks.fasta(decode.decode(found, built, K, preds))
 
 
 def gzip_roundtrip(spark, d):

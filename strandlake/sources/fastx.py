@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import normalize
-from strandlake.operators.blocks import file_blocks, read_blocks
+from strandlake.operators.blocks import FILE_HEADER, decode_file_header, file_blocks, read_blocks
 from strandlake.storage import materialised
 
 
@@ -33,17 +33,16 @@ def _placed(lines: DataFrame) -> DataFrame:
     return lines.select("value", *(c.alias(n) for n, c in meta.items()))
 
 
-def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(record_no, name, seq): a record is a header line and the lines behind it; sequences normalised."""
+def _fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, split, at, name, seq): a record is a header line and the lines behind it; sequences normalised."""
     records = _placed(spark.read.option("lineSep", "\n>").text(paths)).withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
     body = F.when(F.instr("value", "\n") > 0, F.expr("substr(value, instr(value, '\n') + 1)")).otherwise(F.lit(""))
-    found = records.where(F.trim("value") != "").select("path", "split", "at", head.alias("name"), normalize(body).alias("seq"))
-    return numbered(found, ["path", "split", "at"], "record_no").select("record_no", "name", "seq")
+    return records.where(F.trim("value") != "").select("path", "split", "at", head.alias("name"), normalize(body).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(record_no, name, seq) of four-line records; qualities are checked for their length, then dropped."""
+def _fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, split, at, name, seq) of four-line records; qualities are checked for their length, then dropped."""
     lines = _placed(spark.read.text(paths)).withColumn("value", F.regexp_replace("value", "\r$", ""))
     per_file = numbered(lines, ["path", "split", "at"], "line_no")
     first = per_file.groupBy("path").agg(F.min("line_no").alias("__first"))
@@ -53,25 +52,55 @@ def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
     whole = groups.where("not (head = '' and s is null)")
     bad = ~(F.coalesce(F.left("head", F.lit(1)) == "@", F.lit(False)) & F.coalesce(F.left("plus", F.lit(1)) == "+", F.lit(False)) & F.coalesce(F.length("s") == F.length("quality"), F.lit(False)))
     seq = F.when(bad, F.raise_error(F.concat(F.lit("a malformed FASTQ record in "), F.col("path")))).otherwise(normalize(F.col("s")))
-    found = whole.select("path", F.lit(0).alias("split"), "at", F.expr("substr(head, 2)").alias("name"), seq.alias("seq"))
-    return numbered(found, ["path", "split", "at"], "record_no").select("record_no", "name", "seq")
+    return whole.select("path", F.lit(0).cast("long").alias("split"), "at", F.expr("substr(head, 2)").alias("name"), seq.alias("seq"))
+
+
+def _in_order(spark: SparkSession, found: DataFrame, files: list[str]) -> DataFrame:
+    """(record_no, name, seq) of records, file by file."""
+    one_form = F.regexp_replace("path", "^file:/+", "file:/")  # of local files, which have two
+    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "path string, file long").withColumn("path", one_form)
+    found = found.withColumn("path", one_form)
+    return numbered(found.join(F.broadcast(order), "path").drop("path"), ["file", "split", "at"], "record_no").select("record_no", "name", "seq")
+
+
+def files_of(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files of paths in the order given; those of a folder or pattern by name. A file given twice is read once."""
+    return list(dict.fromkeys(f for p in paths for f in sorted(spark.read.text(p).inputFiles())))
+
+
+def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(record_no, name, seq) of FASTA files in the order given."""
+    return _in_order(spark, _fasta(spark, paths), files_of(spark, paths))
+
+
+def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(record_no, name, seq) of FASTQ files in the order given."""
+    return _in_order(spark, _fastq(spark, paths), files_of(spark, paths))
+
+
+def first_character(spark: SparkSession, file: str) -> str:
+    """A file's first character, read through the file system that Spark reads it with; of a gzip file, that inside."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        c = jvm.java.util.zip.GZIPInputStream(stream).read() if file.endswith(".gz") else stream.read()
+    finally:
+        stream.close()
+    return chr(c) if c >= 0 else ""
 
 
 def read_sequences(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Records of FASTA and FASTQ files, told apart by their first character, numbered in the order FASTA, FASTQ, path."""
-    paths = list(paths)
-    first = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.left("value", F.lit(1)).alias("c"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
-    kinds = first.groupBy("path").agg(F.min_by("c", F.struct("split", "at")).alias("c")).collect()
-    odd = [r["path"] for r in kinds if r["c"] not in (">", "@")]
-    if odd:
-        raise ValueError(f"neither FASTA nor FASTQ: {odd[0]}")
-    parts = [f(spark, chosen) for mark, f in ((">", read_fasta), ("@", read_fastq)) if (chosen := sorted(r["path"] for r in kinds if r["c"] == mark))]
+    """Records of FASTA and FASTQ files, told apart by their first character, numbered in the order of the files given."""
+    files = files_of(spark, list(paths))
+    kinds = {f: first_character(spark, f) for f in files}
+    for f, c in kinds.items():
+        if c not in (">", "@", ""):
+            raise ValueError(f"neither FASTA nor FASTQ: {f}")
+    parts = [read(spark, chosen) for mark, read in ((">", _fasta), ("@", _fastq)) if (chosen := [f for f in files if kinds[f] == mark])]
     if not parts:
         return spark.createDataFrame([], "record_no long, name string, seq string")
-    if len(parts) == 1:
-        return parts[0]
-    shift = parts[0].count()
-    return parts[0].unionAll(parts[1].withColumn("record_no", F.col("record_no") + shift))
+    return _in_order(spark, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), files)
 
 
 def read_input_list(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +120,18 @@ def load_index(spark: SparkSession, prefix: str) -> tuple[DataFrame, int]:
     return spark.read.parquet(f"{prefix}/nodes"), spark.read.json(f"{prefix}/properties").first()["k"]
 
 
+def stored_fingerprint(spark: SparkSession, prefix: str) -> int:
+    return spark.read.schema("k int, fingerprint long").json(f"{prefix}/properties").first()["fingerprint"] or 0
+
+
+def check_fingerprint(path: str, fingerprint: int) -> None:
+    """An error if an encoded file was made with another index; files without a fingerprint pass."""
+    with open(path, "rb") as f:
+        stored = decode_file_header(f.read(FILE_HEADER.size))[3]
+    if stored and fingerprint and stored != fingerprint:
+        raise ValueError(f"{path} was encoded with another index")
+
+
 def read_encoded(spark: SparkSession, path: str, records: int) -> DataFrame:
     """Packed tokens of an encoded file in the byte layout; its blocks are decoded one by one."""
 

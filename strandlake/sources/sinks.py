@@ -9,20 +9,21 @@ from strandlake.operators.blocks import encode_file_header
 
 
 def save_index(index: DataFrame, prefix: str, k: int) -> None:
-    """The nodes in order of rank, and k."""
+    """The nodes in order of rank, k, and a fingerprint of all nodes."""
     spark = index.sparkSession
+    marks = index.agg(F.expr("bit_xor(xxhash64(rank, kmer))")).first()[0] or 0
     index.repartitionByRange("rank").sortWithinPartitions("rank").write.parquet(f"{prefix}/nodes")
-    spark.range(1).select(F.lit(k).alias("k")).coalesce(1).write.json(f"{prefix}/properties")
+    spark.range(1).select(F.lit(k).alias("k"), F.lit(marks & (1 << 63) - 1).alias("fingerprint")).coalesce(1).write.json(f"{prefix}/properties")
 
 
 def save_blocks(blocks: DataFrame, path: str) -> None:
     blocks.write.parquet(path)
 
 
-def save_encoded(blocks: DataFrame, path: str) -> None:
+def save_encoded(blocks: DataFrame, path: str, fingerprint: int = 0) -> None:
     """One file in the byte layout, on the driver's disk; blocks pass through the driver one at a time."""
     with open(path, "wb") as out:
-        out.write(encode_file_header())
+        out.write(encode_file_header(fingerprint))
         for row in blocks.orderBy("block_id").select("payload").toLocalIterator():
             out.write(bytes(row["payload"]))
 

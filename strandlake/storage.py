@@ -12,13 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions at least as there are cores; few large files would keep the others idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it names none, a temporary folder is made and set."""
+    """The session's ``spark.checkpoint.dir``; where it names none, a local master gets a temporary folder, any other an error."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return context.getConf().get("spark.checkpoint.dir", None) or current.get()
-    where = context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandlake-")
+    where = context.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="strandlake-")
     context.setCheckpointDir(where)
     return where
 

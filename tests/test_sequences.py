@@ -227,6 +227,8 @@ def test_sequence_files(spark, tmp_path):
     assert [r["name"] for r in fastx.read_input_list(spark, str(tmp_path / "list.tsv")).collect()] == [f"{tmp_path}/a.fa", "last"]
     both = fastx.read_all(spark, [], str(tmp_path / "list.tsv")).orderBy("record_no").collect()
     assert [r["record_no"] for r in both] == [1, 2, 3, 4, 5, 6]
+    mixed = fastx.read_sequences(spark, [str(tmp_path / f) for f in ("c.fq", "b.fa.gz", "a.fa")]).orderBy("record_no").collect()
+    assert [r["name"] for r in mixed] == ["r1 d", "r2", "five", "one x", "two", "three", "four"]
     (tmp_path / "bad.fq").write_text("@r1\nACGT\n+\nII\n")
     with pytest.raises(Exception, match="malformed"):
         fastx.read_fastq(spark, [str(tmp_path / "bad.fq")]).collect()
@@ -240,7 +242,7 @@ def test_command_line_round_trip(spark, tmp_path):
 
     rng = random.Random(9)
     ref = sequence(rng, 400)
-    reads = [ref[10:120], revcomp(ref[200:390]), "ACGTACGT", ref[:50]]
+    reads = [ref[10:120], revcomp(ref[200:390]), "ACGTNACGT", ref[:50]]
     (tmp_path / "ref.fa").write_text(f">ref\n{ref}\n")
     (tmp_path / "reads.fa").write_text("".join(f">r{i}\n{s}\n" for i, s in enumerate(reads)))
     cli.main(["build", str(tmp_path / "ref.fa"), "-o", str(tmp_path / "ix"), "-k", "21"], spark)
@@ -248,6 +250,10 @@ def test_command_line_round_trip(spark, tmp_path):
     cli.main(["decode", str(tmp_path / "out.dat"), "-i", str(tmp_path / "ix"), "-o", str(tmp_path / "fa")], spark)
     text = "".join(p.read_text() for p in sorted((tmp_path / "fa").glob("part-*")))
     assert text == "".join(f">seq.{i + 1}\n{s}\n" for i, s in enumerate(reads))
+    (tmp_path / "other.fa").write_text(f">ref\n{ref[::-1]}\n")
+    cli.main(["build", str(tmp_path / "other.fa"), "-o", str(tmp_path / "iy"), "-k", "21"], spark)
+    with pytest.raises(ValueError, match="another index"):
+        cli.main(["decode", str(tmp_path / "out.dat"), "-i", str(tmp_path / "iy"), "-o", str(tmp_path / "fb")], spark)
     with pytest.raises(SystemExit):
         cli.main(["build", "-o", str(tmp_path / "none")], spark)
 
