@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder is made and set.
+    Where the session names none, a local master gets a temporary folder, any other an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None)
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         sc.setCheckpointDir(where)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():

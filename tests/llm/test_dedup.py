@@ -41,7 +41,7 @@ def test_many_positions_and_texts_under_one_id(spark):
     rows = [(i, "\n".join([f"{i}-{j}" for j in range(90)] + [shared] * 40)) for i in range(5)] + [(2, f"{shared}\nother")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == plain_lines(rows)
-    marks = {r["doc_id"]: (r["n_dropped"], r["drops"]) for r in line_dedup.drop_bitmaps(docs).where("doc_id < 2").collect()}
+    marks = {r["doc_id"]: (r["n_dropped"], r["keeps"]) for r in line_dedup.keep_bitmaps(docs).where("doc_id < 2").collect()}
     assert marks[0][0] == 40 and set(marks[0][1]) == {2, 3, 4}
 
 
