@@ -119,11 +119,14 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     return out
 
 
-def family_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what is connected in each family; members: (node, family, shingles)."""
+def family_links(members: DataFrame, percent: int, sent: bool = False) -> DataFrame:
+    """(a, b): links that connect what is connected in each family; members: (node, family, shingles).
+
+    ``sent``: the families are so few that their sizes go to all executors, and no family's members meet before they are dealt out.
+    """
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES))
     sizes = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
-    placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.join(F.broadcast(sizes) if sent else sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each member goes to the tasks of its block with every block; a pair of blocks is one task, in one order.
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("family", "node", "shingles", "block", pair).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "shingles")
@@ -154,8 +157,8 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     chosen = families if n > SENT_IDS else F.broadcast(families)
     # A doc_id may stand for several texts; all of them are compared under it.
     sets = shingled(docs.join(chosen.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size)
-    members = sets.select(F.col("doc_id").alias("node"), "shingles").join(families, "node").select("node", "family", "shingles")
-    found = components(family_links(members, percent))
+    members = sets.select(F.col("doc_id").alias("node"), "shingles").join(chosen, "node").select("node", "family", "shingles")
+    found = components(family_links(members, percent, sent=n <= SENT_IDS))
     roots = copies.select("copy", "node").join(found, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("copy")).alias("copy")).join(roots, "copy", "left")
     component = F.coalesce("component_id", "doc_id")
