@@ -3,18 +3,21 @@
 * Text: the mean log likelihood of hashed letter trigrams under each language, counted as at most ``TEXT_WEIGHT``
   independent observations. The trigram tables are fitted on a bounded sample of labelled rows (``train_rows`` of smallest
   doc_id hash); whole texts are scored.
-* Declared language and address suffix: P(value | language), from grouped sums of the text posteriors over all rows. Values
-  are reduced to codes of two or three letters, so the tables are small, whatever the input.
+* Declared language (a code of two or three letters) and address suffix (a host's last label, of any length): P(value |
+  language), from grouped sums of the text posteriors over all rows.
 * Host: P(language | host), shrunk to its domain's, which is shrunk to that of all rows; each is a grouped sum of text
-  posteriors, aggregated before it is shuffled, so that a host with a third of all rows is no hot spot.
+  posteriors.
+
+All sums are aggregated before they are shuffled, and the tables of up to SENT_VALUES values are sent to all executors; larger
+ones are joined with both sides dealt out by value and a salt of SALTS. So a host with a third of all rows is no hot spot.
 
 Text in none of the languages is told by the mean log likelihood of its trigrams under the mixture of all languages, trigram
 by trigram, so that documents of several languages have no less than others. The class it is held against, with a prior of
 ``OTHER``, has the likelihood of a uniform one over the buckets, or of the lowest thousandth of the labelled rows, each under the
 tables without itself, if that is less. With fewer than ``LABELLED_ROWS`` of them, trigrams that they lack say nothing, and no
-text is told. Only ``accepted`` uses this.
+text is told. Only ``accepted`` uses this; it takes no label of the rows that it decides on as evidence.
 
-The posterior is the normalised product. Labels are what the training rows have; a row without a single letter trigram
+The posterior is the normalised product; of languages with the same one the first by name is taken. Labels are what the training rows have; a row without a single letter trigram
 has no text evidence and is left to the rest.
 
 Cases: null and empty texts, null hosts, suffixes and declarations are missing evidence. Rows are independent; repeated
@@ -42,12 +45,29 @@ HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 10.0, 10.0, 1.0
 #: The prior of text in none of the languages, and the labelled rows from which it is told.
 OTHER, LABELLED_ROWS = 0.01, 100
 
-MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Values of a table that are sent to all executors at most, and shares of a value's rows beyond that.
+SENT_VALUES, SALTS = 200_000, 16
+
+OPENING = re.compile(r"(?i)<(?:(script|style)\b|(!--))")
+CLOSING = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>"), "!--": re.compile("-->")}
 
 
 def plain(source: str | None) -> str:
-    """The text of an HTML page."""
-    return html.unescape(MARKUP.sub(" ", source or ""))
+    """The text of an HTML page: without tags, comments, scripts and styles; time grows with its length, whatever is left open."""
+    source, out, at, lacking = source or "", [], 0, set()
+    while (i := source.find("<", at)) >= 0:
+        out.append(source[at:i])
+        end = None
+        if (m := OPENING.match(source, i)) and (kind := (m[1] or m[2]).lower()) not in lacking:
+            if not (end := CLOSING[kind].search(source, m.end())):
+                lacking.add(kind)  # there is none behind here either
+        stop = end.end() if end else source.find(">", i) + 1
+        if not stop:
+            at = i
+            break
+        out.append(" ")
+        at = stop
+    return html.unescape("".join(out) + source[at:])
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -99,6 +119,12 @@ def code(value):
     return F.when(found != "", found)
 
 
+def last_label(value):
+    """An address suffix column: one label in lower case, null if it is none."""
+    label = F.lower(F.trim(value))
+    return F.when(label.rlike("^[a-z0-9-]{1,63}$"), label)
+
+
 def domain(host):
     """The last two labels of a host."""
     return F.substring_index(host, ".", -2)
@@ -120,7 +146,7 @@ def scored(rows: DataFrame, model: tuple[list[str], np.ndarray, float], markup:
             for text in batch.column(4):
                 grams = trigrams(plain(text.as_py()) if markup else text.as_py())
                 weight = min(len(grams), TEXT_WEIGHT)
-                *logs, mixed = (weights[grams].mean(axis=0) * weight).astype(float).tolist() if len(grams) and languages else (None,)
+                *logs, mixed = (weights[grams].mean(axis=0, dtype=np.float64) * weight).astype(float).tolist() if len(grams) and languages else (None,)
                 out.append(logs or None)
                 others.append(None if mixed is None else none * weight - mixed)
             yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.list_(pa.float64())), pa.array(others, pa.float64())], names=["id", "host", "suffix", "declared", "text_ll", "other"])
@@ -147,42 +173,44 @@ def shrunk(mass, parent, weight: float):
     return F.coalesce(F.zip_with(mass, parent, lambda m, p: (m + p * weight) / total), parent)
 
 
-def value_table(df: DataFrame, n: int, column: str) -> dict[str, list[float]]:
-    """log P(value | language) of each code in ``column``; as many rows as there are codes."""
-    found = {r[0]: np.array(r["mass"]) for r in sums(df.where(F.col(column).isNotNull()), n, column).collect()}
-    if not found:
-        return {}
-    total = sum(found.values()) + VALUE_WEIGHT * len(found)
-    return {value: np.log((mass + VALUE_WEIGHT) / total).tolist() for value, mass in found.items()}
+def value_table(df: DataFrame, n: int, column: str) -> DataFrame:
+    """(``column``, logs): log P(value | language) of each value."""
+    found = sums(df.where(F.col(column).isNotNull()), n, column)
+    parts = [F.element_at("mass", k + 1) for k in range(n)]
+    total = found.agg(F.count("*").alias("values"), *(F.sum(p).alias(f"t{k}") for k, p in enumerate(parts))).first()
+    logs = F.array(*(F.log((p + VALUE_WEIGHT) / F.lit((total[f"t{k}"] or 0.0) + VALUE_WEIGHT * max(total["values"], 1))) for k, p in enumerate(parts)))
+    return found.select(column, logs.alias(f"{column}_logs"))
 
 
-def looked_up(column: str, found: dict[str, list[float]], n: int):
-    none = F.lit([0.0] * n) if n else F.array().cast("array<double>")
-    if not found:
-        return none
-    pairs = F.create_map(*(x for value, logs in found.items() for x in (F.lit(value), F.array(*map(F.lit, logs)))))
-    return F.coalesce(F.try_element_at(pairs, F.col(column)), none)
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` (id, ...) with the columns of ``table`` by ``key``; null where it has no row."""
+    table = cut(table)
+    if table.count() <= SENT_VALUES:
+        return rows.join(F.broadcast(table), key, "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, float], markup: bool = False) -> DataFrame:
     """(id, lang, posterior, text_lang, has_text, other) of rows (id long, host, suffix, declared, text)."""
     languages, n = model[0], len(model[0])
-    cleaned = rows.select("id", F.lower("host").alias("host"), code(F.col("suffix")).alias("suffix"), code(F.col("declared")).alias("declared"), "text")
+    cleaned = rows.select("id", F.lower("host").alias("host"), last_label(F.col("suffix")).alias("suffix"), code(F.col("declared")).alias("declared"), "text")
     seen = scored(cleaned, model, markup)
     if not n:
         return seen.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("has_text"), F.lit(None).cast("double").alias("other"))
     seen = cut(seen.withColumn("domain", domain(F.col("host"))))
     with_post = seen.withColumn("post", softmax(F.col("text_ll")))
-    declared, suffix = value_table(with_post, n, "declared"), value_table(with_post, n, "suffix")
     all_rows = np.array(sums(with_post, n).first()["mass"]) + 1.0
     base = F.array(*map(F.lit, (all_rows / all_rows.sum()).tolist()))
     by_host = sums(with_post.where("host is not null"), n, "host", "domain").withColumnRenamed("mass", "host_mass")
     by_domain = sums(with_post.where("host is not null"), n, "domain").withColumnRenamed("mass", "domain_mass")
     priors = by_host.join(by_domain, "domain").select("host", shrunk(F.col("host_mass"), shrunk(F.col("domain_mass"), base, DOMAIN_WEIGHT), HOST_WEIGHT).alias("prior"))
-    joined = seen.join(priors, "host", "left")
+    joined = looked_up(seen, priors, "host")
+    for column in ("declared", "suffix"):
+        joined = looked_up(joined, value_table(with_post, n, column), column)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     prior = F.transform(F.coalesce("prior", base), lambda p: F.log(p))
-    total = add(add(F.coalesce("text_ll", F.lit([0.0] * n)), prior), add(looked_up("declared", declared, n), looked_up("suffix", suffix, n)))
+    total = add(add(F.coalesce("text_ll", F.lit([0.0] * n)), prior), add(*(F.coalesce(f"{column}_logs", F.lit([0.0] * n)) for column in ("declared", "suffix"))))
     labels, post = F.array(*map(F.lit, languages)), softmax(total)
     fused = joined.select("id", "text_ll", "other", post.alias("post"))
     best = lambda x: F.element_at(labels, F.array_position(x, F.array_max(x)).cast("int"))
@@ -203,6 +231,6 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray, float], least:
 
     ``source`` stands for the host. Rejected are the doc_ids of which a row fails; a row with a null doc_id stays.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("host"), *(F.lit(None).cast("string").alias(c) for c in ("suffix", "declared")), "text")
     out = identify(rows, model).where(~F.col("has_text") | (F.col("posterior") < least) | (F.col("other") > float(np.log(1 / OTHER - 1)))).where("id is not null").select(F.col("id").alias("__rejected")).distinct()
     return docs.join(out, docs["doc_id"] == out["__rejected"], "left_anti")

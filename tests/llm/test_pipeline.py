@@ -35,6 +35,17 @@ def test_each_stage_equals_a_plain_version(spark, awkward, tmp_path):
             check_packing(after, before, 2048)
 
 
+def test_columns_of_clashing_names_are_passed_on(spark, awkward):
+    clashing = ["row", "ver", "keeps", "n_dropped", "n_lines", "__drops", "__n", "__salt", "__gone", "__rejected", "__id", "id", "host", "node", "shingles", "copy", "piece"]
+    docs = awkward.drop("row", "h1", "size").selectExpr("*", *(f"'{c}!' as `{c}`" for c in clashing))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}!" for r in rows for c in clashing), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
 def test_empty_documents(spark, nothing):
     docs = nothing
     for name, stage in corpus_pipeline.STAGES:

@@ -138,6 +138,70 @@ def test_other_evidence_decides_where_there_is_no_text(spark):
     assert all(out[i]["lang"] == "de" and out[i]["posterior"] > 0.99 for i in range(60))
 
 
+def plain_languages(rows, model):
+    """Each page's (language, posterior) by the definition, page by page; rows: (id, host, declared, text)."""
+    names, table, _ = model
+    n, found = len(names), []
+    for _, host, declared, text in rows:
+        grams = language_id.trigrams(text)
+        ll = table[:, grams].mean(axis=1) * min(len(grams), language_id.TEXT_WEIGHT) if len(grams) else None
+        post = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum() if ll is not None else None
+        found.append((host, ".".join(host.split(".")[-2:]) if host else None, host.rsplit(".", 1)[-1] if host else None, declared, ll, post))
+
+    def mass(which, value):
+        return sum((f[5] for f in found if f[5] is not None and f[which] == value), np.zeros(n))
+
+    def value_logs(which, value):
+        values = {f[which] for f in found if f[which] is not None}
+        if value not in values:
+            return np.zeros(n)
+        total = sum(mass(which, v) for v in values) + language_id.VALUE_WEIGHT * len(values)
+        return np.log((mass(which, value) + language_id.VALUE_WEIGHT) / total)
+
+    base = sum((f[5] for f in found if f[5] is not None), np.ones(n))
+    base = base / base.sum()
+    shrunk = lambda m, parent, weight: (m + weight * parent) / (m.sum() + weight)
+    out = {}
+    for (i, *_), (host, domain, suffix, declared, ll, _) in zip(rows, found):
+        prior = shrunk(mass(0, host), shrunk(mass(1, domain), base, language_id.DOMAIN_WEIGHT), language_id.HOST_WEIGHT) if host else base
+        total = (ll if ll is not None else 0) + np.log(prior) + value_logs(3, declared) + value_logs(2, suffix)
+        post = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        out[i] = (names[int(post.argmax())], float(post.max()))
+    return out
+
+
+@pytest.mark.parametrize("sent", [100, 0])
+def test_languages_equal_a_plain_version(spark, monkeypatch, sent):
+    """With tables that are sent out, and with ones that are joined by a salt."""
+    monkeypatch.setattr(language_id, "SENT_VALUES", sent)
+    rng = random.Random(11)
+    model = language_id.fit(spark.createDataFrame(labelled(rng, 200), "doc_id long, text string, lang string"))
+    hosts = ["a.one.de", "b.one.de", "www.two.info", "x.three.com", "y.three.com", "four.xn--p1ai", None]
+    rows = [(i, rng.choice(hosts), rng.choice(["de", "en", "fr", None]), " ".join(rng.choice(PROSE[rng.choice(list(PROSE))]) for _ in range(rng.choice([0, 1, 4, 30])))) for i in range(120)]
+    rows += [(200, "new.example.org", None, ""), (201, None, None, "the and with " * 20_000), (202, "a.one.de", "sv", "")]
+    page = lambda host, declared, text: (f"https://user@{host.upper()}:80/p?q" if host else None, (f"<html lang='{declared}-X'>" if declared else "") + f"<p>{text}</p>")
+    pages = spark.createDataFrame([(i, *page(h, d, t)) for i, h, d, t in rows], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: (r["lang"], r["posterior"]) for r in language_id.of_pages(pages, model).collect()}
+    want = plain_languages(rows, model)
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+    assert {i: v[1] for i, v in got.items()} == pytest.approx({i: v[1] for i, v in want.items()}, rel=1e-4)
+
+
+def test_ties_between_languages_go_to_the_first_name(spark):
+    model = language_id.fit(spark.createDataFrame([(1, "aaa", "fr"), (2, "bbb", "de")], "doc_id long, text string, lang string"))
+    row = language_id.of_pages(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"), model).first()
+    assert row["lang"] == "de" and math.isclose(row["posterior"], 0.5)
+
+
+def test_markup_of_any_kind():
+    cut = lambda s: " ".join(language_id.plain(s).split())
+    assert cut("a<b>c</b>d<!-- x > y -->e<SCRIPT>if (a<b) f()</script >g<style>h</style>i &amp; j") == "a c d e g i & j"
+    assert cut("a <!-- open <b>c</b>") == "a c" and cut("a <script> open <b>c") == "a open c" and cut("a < b") == "a < b" and cut(None) == ""
+    assert cut("a<!--b--><!--c") == "a <!--c"
+    for part in ("<!--", "<script>", "<style ", "<", "<!-- <script>"):
+        assert len(language_id.plain(part * 300_000)) >= 0
+
+
 def test_language_stage_on_awkward_rows(awkward, nothing):
     model = language_id.fit(awkward)
     kept = language_id.accepted(awkward, model)
