@@ -8,8 +8,10 @@ those before leave in the same way, so that the members of a dense cluster, whos
 
 A search scans codes by a table of 16 inner products for each query and part. Smallest Euclidean distance is largest
 2 q . x - |x|^2, so the exact norm, kept beside the codes, makes the inner product the only estimate. Queries and vectors
-meet in a grid of blocks of bounded size; each block of vectors returns its ``shortlist`` best of a query, the best of
-these over all blocks are joined with the original vectors, and their distances are computed in double precision.
+meet in a grid of blocks of bounded size, into which vectors are dealt by hash. Of a shortlist of s vectors a block of b
+has some s / b; each returns so many of a query's best and six standard deviations and six more (the shortlist, if that is
+less). The best of these over all blocks are joined with the original vectors, and their distances are computed in double
+precision.
 
 Equal vectors are coded once, with the ``k + 1`` smallest of their ids: no more can be among k neighbours of a query that
 is one of them. So a vector that a third of all rows share neither crowds the shortlists nor one task.
@@ -22,6 +24,8 @@ candidates than k give fewer rows. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -134,6 +138,8 @@ def candidates(unique: DataFrame, queries: DataFrame, dim: int, shortlist: int,
     blocks = max(min(MAX_BLOCKS, -(-n // LEAST_ROWS)), -(-n // MOST_ROWS))
     query_blocks = max(1, -(-n_queries // QUERIES))
 
+    share = min(shortlist, math.ceil(shortlist / blocks + 6 * math.sqrt(shortlist / blocks) + 6))
+
     def encode(batches):
         for batch in batches:
             v = batch.column(1).flatten().to_numpy().reshape(-1, dim)
