@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import io
 import math
@@ -254,18 +255,23 @@ def plain_scores(rows, common):
                 grams[tuple(s[k - depth : k])][s[k]] += 1
     alphabet = len(common) + lm_score.CLASSES
 
-    def p(context, x):
-        own = grams[context]
+    @functools.cache
+    def told(context):
+        own, gain = grams[context], 0.0
         total, types = sum(own.values()), len(own)
+        for y, n in own.items() if context and total > 1 else ():
+            below, others = p(context[1:], y), types - (n == 1)
+            gain += n * math.log((n - 1 + others * below) / (total - 1 + others) / below)
+        return total, types, gain > 0
+
+    @functools.cache
+    def p(context, x):
+        total, types, kept = told(context)
+        own = grams[context][x] if x in grams[context] else 0
         if not context:
-            return (own[x] + types / alphabet) / (total + types) if types else 1 / alphabet
+            return (own + types / alphabet) / (total + types) if types else 1 / alphabet
         parent = p(context[1:], x)
-        gain = 0.0
-        for y, n in own.items():
-            below, others = p(context[1:], y), types - (n == 1)
-            if total > 1:
-                gain += n * math.log((n - 1 + others * below) / (total - 1 + others) / below)
-        return (own[x] + types * parent) / (total + types) if gain > 0 else parent
+        return (own + types * parent) / (total + types) if kept else parent
 
     out = []
     for (i, _), d in zip(rows, docs):
