@@ -2,9 +2,11 @@
 
 A text's UTF-8 bytes, filled up with byte 255 (which UTF-8 never has) to a positive multiple of ``WIDTH``, are stored as an
 8-bit grey PNG image of that width. Each task appends its images to tar shards in the shared folder, named by the digest of
-the image; equal images of a shard are stored once. The catalogue has, for each row, the digest, the shard, and the
-offset and length of the image within it; it is materialised, so that the shards it names are complete whatever becomes
-of the tasks that wrote them. A repeated task writes shards of new names, and none of the old ones is referred to.
+the image. Equal texts are stored once overall: texts that occur once are written where they lie; of each that occurs more
+often, one row's is, after a shuffle of those alone with partial aggregation, and the others take its place in the catalogue.
+The catalogue has, for each row, the digest, the shard, and the offset and length of the image within it; it is
+materialised, so that the shards it names are complete whatever becomes of the tasks that wrote them. A repeated task
+writes shards of new names, and none of the old ones is referred to.
 
 ``with_header`` fills the metadata columns from reads of each image's first 33 bytes. ``features`` reads whole images.
 
@@ -34,7 +36,10 @@ SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 #: A shard is closed once it has so many bytes.
 SHARD_BYTES = 256 << 20
 CATALOGUE = "doc_id long, digest string, shard string, offset long, length long"
-TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
+#: Of up to so many texts that occur more than once, the digests, then the places (some 250 bytes each) are sent to all
+#: executors; more are joined by a shuffle.
+SENT_DIGESTS = 200_000
+TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def batch_of(ddl: str, columns: list) -> pa.RecordBatch:
@@ -130,28 +135,44 @@ class Ranges:
         return self.files[shard].read_at(length, offset)
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """The catalogue of the rows' payloads, materialised: doc_id, digest, shard, offset, length."""
-    where = shared_path(docs.sparkSession, "shards")
+def written(rows: DataFrame, where: str) -> DataFrame:
+    """The catalogue of ``rows`` (doc_id, payload, key) and the keys, materialised; every row's image is stored."""
+    ddl = f"{CATALOGUE}, key binary"
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
-        for batch in rows:
-            out: list = [batch.column(0).to_pylist(), [], [], [], []]
+        for batch in batches:
+            out: list = [batch.column(0).to_pylist(), [], [], [], [], batch.column(2).to_pylist()]
             for text in batch.column(1):
-                image = to_png(filled(text.as_py() or b""))
+                image = to_png(filled(text.as_py()))
                 digest = hashlib.sha256(image).hexdigest()
                 shard = shard or Shard(where)
-                for column, value in zip(out[1:], (digest, shard.path, shard.put(digest, image), len(image)), strict=True):
+                for column, value in zip(out[1:5], (digest, shard.path, shard.put(digest, image), len(image)), strict=True):
                     column.append(value)
                 if shard.size >= SHARD_BYTES:
                     shard.close()
                     shard = None
-            yield batch_of(CATALOGUE, out)
+            yield batch_of(ddl, out)
         if shard:
             shard.close()
 
-    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("payload")).mapInArrow(run, CATALOGUE))
+    return cut(rows.select("doc_id", "payload", "key").mapInArrow(run, ddl))
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """The catalogue of the rows' payloads, materialised: doc_id, digest, shard, offset, length."""
+    where = shared_path(docs.sparkSession, "shards")
+    payload = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col("doc_id").cast("long"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    repeated = cut(rows.groupBy("key").count().where("count > 1").select("key"))
+    small = F.broadcast if repeated.count() <= SENT_DIGESTS else lambda df: df
+    of_repeated = rows.join(small(repeated), "key", "left_semi")
+    once = rows.join(small(repeated), "key", "left_anti")
+    one_of_each = of_repeated.groupBy("key").agg(F.first("payload").alias("payload")).select(F.lit(None).cast("long").alias("doc_id"), "payload", "key")
+    places = written(one_of_each, where).drop("doc_id")
+    shared = of_repeated.select("doc_id", "key").join(small(places), "key")
+    columns = [f.split()[0] for f in CATALOGUE.split(", ")]
+    return written(once, where).select(columns).unionAll(shared.select(columns))
 
 
 def with_header(catalogue: DataFrame) -> DataFrame:

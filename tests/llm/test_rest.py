@@ -97,6 +97,7 @@ def test_media(spark, awkward, awkward_rows, nothing):
         want[doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])] += 1
     assert out == want
     rows = catalogue.collect()
+    assert len({(r["shard"], r["offset"]) for r in rows}) == len({r["digest"] for r in rows}) == len({text or "" for _, text, *_ in awkward_rows})
     for shard in {r["shard"] for r in rows}:
         with open(shard.removeprefix("file://"), "rb") as f:
             data = f.read()
@@ -107,6 +108,12 @@ def test_media(spark, awkward, awkward_rows, nothing):
                 assert names[f"{r['digest']}.png"] == data[r["offset"] : r["offset"] + r["length"]]
         assert all(hashlib.sha256(v).hexdigest() == k[:-4] for k, v in names.items())
     assert media.features(media.with_header(media.store(nothing))).collect() == []
+    old, media.SENT_DIGESTS = media.SENT_DIGESTS, 0
+    try:
+        joined = media.store(awkward)
+    finally:
+        media.SENT_DIGESTS = old
+    assert Counter((r["doc_id"], r["digest"]) for r in joined.collect()) == Counter((r["doc_id"], r["digest"]) for r in rows)
     with pytest.raises(ValueError):
         media.from_png(media.to_png(b"a" * 576)[:-20] + b"x" * 20)
 
