@@ -18,9 +18,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     A large-star round ties each node's larger neighbours to the smallest node around it, a small-star round the smaller
     ones; the links end up as one star for each component, after a number of rounds that grows with the logarithm of the
     number of nodes. Smallest neighbours are found by partial aggregation, so a node with very many links is no hot spot
-    there; nor in the join back, for which the smallest neighbours of up to SENT_NODES nodes are sent to all executors. With more,
-it is one that Spark can split. Each round is materialised in the shared folder. Null ends and
-    loops are ignored.
+    there; nor in the join back, for which the smallest neighbours of up to SENT_NODES nodes are sent to all executors. With
+    more, the join is one that Spark can split. Each round is materialised in the shared folder. Null ends and loops are
+    ignored.
     """
     ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = cut(ends.where("u is not null and v is not null and u != v").distinct())

@@ -7,7 +7,8 @@
    below 1e-9 at 0.85 and 3e-7 at 0.8.
 3. Members of families with more than one member get their shingle sets in a second pass. In each family all members are
    compared exactly, by counting shared shingles over postings. A large family is dealt out to tasks by pairs of blocks of
-   members, and a task returns a spanning forest of the links that it finds, so output stays linear in the members.
+   members, but for pairs whose sizes rule a link out, and a task returns a spanning forest of the links that it finds, so
+   output stays linear in the members.
 4. Components of these links are the groups.
 
 Links: 100 * intersection >= percent * union of the distinct shingles. A document with fewer words than a shingle has is
@@ -20,6 +21,7 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,23 +121,47 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     return out
 
 
+def size_class(percent: int):
+    """The class of a set's size: sizes of a link are of one class or of neighbouring ones, as the smaller is at least ``percent`` of the larger."""
+    size = F.length("shingles") / 8
+    if percent <= 0:
+        return F.lit(0)
+    # A width a little above the largest ratio's logarithm keeps rounding from parting such sizes by two classes.
+    return F.floor(F.log(size) / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else size.cast("int")
+
+
 def family_links(members: DataFrame, percent: int, sent: bool = False) -> DataFrame:
     """(a, b): links that connect what is connected in each family; members: (node, family, shingles).
 
+    A family of one block is compared whole. A larger one is cut by classes of sizes, a class into blocks; a pair of blocks
+    of one class or of neighbouring classes is one task, all other pairs are too unlike in size to link.
     ``sent``: the families are so few that their sizes go to all executors, and no family's members meet before they are dealt out.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES))
-    sizes = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
-    placed = members.join(F.broadcast(sizes) if sent else sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each member goes to the tasks of its block with every block; a pair of blocks is one task, in one order.
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("family", "node", "shingles", "block", pair).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "shingles")
+    needed = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    classed = members.withColumn("class", size_class(percent))
+    sizes = classed.groupBy("family", "class").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("size"))
+    total = sizes.groupBy("family").agg(needed(F.sum("n"), F.sum("size")).alias("whole"), F.map_from_entries(F.collect_list(F.struct("class", needed(F.col("n"), F.col("size"))))).alias("blocks"))
+    small_side = F.broadcast if sent else lambda df: df
+    at = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+    alone = F.col("whole") == 1
+    known = classed.join(small_side(total), "family").withColumn("class", F.when(alone, 0).otherwise(F.col("class")))
+    known = known.withColumn("own", F.when(alone, 1).otherwise(at(F.col("class"))))
+    placed = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+    # Each member goes to the tasks of its block with every block of its class and the two beside it; a pair of blocks is one task, in one order.
+    cell = lambda c, i: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i"))
+    cells = lambda c, n: F.transform(F.sequence(F.lit(1), n), lambda i: cell(c, i - 1))
+    beside = lambda c: F.when(~alone & (at(c) > 0), cells(c, at(c)))
+    none = F.array().cast("array<struct<c:int,i:int>>")
+    others = F.concat(cells(F.col("class"), F.col("own")), *(F.coalesce(beside(F.col("class") + step), none) for step in (-1, 1)))
+    pairs = placed.select("family", "node", "shingles", cell(F.col("class"), F.col("block")).alias("block"), F.explode(others).alias("other"))
+    dealt = pairs.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "shingles")
 
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
         sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table.column("shingles")]
-        block, x, y = table.column("block").to_numpy(), table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        block = table.column("block").to_pylist()
+        left, right = (np.flatnonzero([b == side for b in block]) for side in (x, y))
         found = linked(ids, sets, left, right, percent) if len(left) and len(right) else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 

@@ -90,6 +90,22 @@ def test_groups_of_near_copies_lose_no_link(spark):
     assert got == plain_groups(rows, 85)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_size_classes_keep_links_at_the_bound(spark, percent):
+    """Growing prefixes of one text: each links with those up to exactly the threshold longer."""
+    base = [f"w{i}" for i in range(260)]
+    rows = [(i, " ".join(base[: n + 4])) for i, n in enumerate([*range(1, 60), 60, 75, 100, 125, 160, 200, 250, 250])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.shingled(docs, 5).selectExpr("doc_id as node", "0L as family", "shingles")
+    old, near_dedup.BLOCK = near_dedup.BLOCK, 3
+    try:
+        links = near_dedup.family_links(sets, percent).collect()
+    finally:
+        near_dedup.BLOCK = old
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {d: roots.get(d, d) for d, _ in rows} == {d: c for d, _, c, _ in plain_groups(rows, percent)}
+
+
 def test_distinct_documents(awkward, awkward_rows, nothing):
     out = near_dedup.distinct(awkward, 80)
     assert out.columns == awkward.columns
