@@ -27,10 +27,12 @@ def parser() -> argparse.ArgumentParser:
     encode.add_argument("query")
     encode.add_argument("-i", "--index", required=True)
     encode.add_argument("-o", "--output", required=True)
+    encode.add_argument("--blocks", action="store_true", help="a folder of blocks as Parquet, written by the tasks, in place of one file")
     decode = verbs.add_parser("decode", help="an encoded file to FASTA")
     decode.add_argument("input")
     decode.add_argument("-i", "--index", required=True)
     decode.add_argument("-o", "--output", required=True)
+    decode.add_argument("--blocks", action="store_true", help="the input is a folder of blocks")
     return top
 
 
@@ -49,11 +51,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.verb == "encode":
         nodes, k = fastx.load_index(spark, args.index)
         reads = fastx.read_sequences(spark, [args.query])
-        sinks.save_encoded(blocks.write_blocks(tokens.pack(tokens.tokenize(nodes, reads, k))), args.output, fastx.stored_fingerprint(spark, args.index))
+        save = sinks.save_blocks if args.blocks else sinks.save_encoded
+        save(blocks.write_blocks(tokens.pack(tokens.tokenize(nodes, reads, k))), args.output, fastx.stored_fingerprint(spark, args.index))
     else:
         nodes, k = fastx.load_index(spark, args.index)
-        fastx.check_fingerprint(args.input, fastx.stored_fingerprint(spark, args.index))
-        packed = fastx.read_encoded(spark, args.input, blocks.RECORDS)
+        fingerprint = fastx.stored_fingerprint(spark, args.index)
+        if args.blocks:
+            packed = fastx.load_blocks(spark, args.input, blocks.RECORDS, fingerprint)
+        else:
+            fastx.check_fingerprint(args.input, fingerprint)
+            packed = fastx.read_encoded(spark, args.input, blocks.RECORDS)
         sinks.save_fasta(decode.decode(blocks.as_tokens(packed), nodes, k), args.output)
     log.info("%s done", args.verb)
 

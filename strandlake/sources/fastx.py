@@ -132,6 +132,14 @@ def check_fingerprint(path: str, fingerprint: int) -> None:
         raise ValueError(f"{path} was encoded with another index")
 
 
+def load_blocks(spark: SparkSession, path: str, records: int, fingerprint: int = 0) -> DataFrame:
+    """Packed tokens of blocks stored as Parquet; an error if they were made with another index, as far as both are known."""
+    stored = spark.read.parquet(path)
+    if fingerprint and stored.where(~F.col("fingerprint").isin(0, fingerprint)).limit(1).count():
+        raise ValueError(f"{path} was encoded with another index")
+    return read_blocks(stored, records)
+
+
 def read_encoded(spark: SparkSession, path: str, records: int) -> DataFrame:
     """Packed tokens of an encoded file in the byte layout; its blocks are decoded one by one."""
 

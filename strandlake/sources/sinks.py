@@ -16,8 +16,9 @@ def save_index(index: DataFrame, prefix: str, k: int) -> None:
     spark.range(1).select(F.lit(k).alias("k"), F.lit(marks & (1 << 63) - 1).alias("fingerprint")).coalesce(1).write.json(f"{prefix}/properties")
 
 
-def save_blocks(blocks: DataFrame, path: str) -> None:
-    blocks.write.parquet(path)
+def save_blocks(blocks: DataFrame, path: str, fingerprint: int = 0) -> None:
+    """Blocks as Parquet, written by the tasks that made them, with the index's fingerprint (0 where none is known) in each row."""
+    blocks.withColumn("fingerprint", F.lit(fingerprint).cast("long")).write.parquet(path)
 
 
 def save_encoded(blocks: DataFrame, path: str, fingerprint: int = 0) -> None:

@@ -250,10 +250,15 @@ def test_command_line_round_trip(spark, tmp_path):
     cli.main(["decode", str(tmp_path / "out.dat"), "-i", str(tmp_path / "ix"), "-o", str(tmp_path / "fa")], spark)
     text = "".join(p.read_text() for p in sorted((tmp_path / "fa").glob("part-*")))
     assert text == "".join(f">seq.{i + 1}\n{s}\n" for i, s in enumerate(reads))
+    cli.main(["encode", str(tmp_path / "reads.fa"), "-i", str(tmp_path / "ix"), "-o", str(tmp_path / "blocks"), "--blocks"], spark)
+    cli.main(["decode", str(tmp_path / "blocks"), "-i", str(tmp_path / "ix"), "-o", str(tmp_path / "fc"), "--blocks"], spark)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "fc").glob("part-*"))) == text
     (tmp_path / "other.fa").write_text(f">ref\n{ref[::-1]}\n")
     cli.main(["build", str(tmp_path / "other.fa"), "-o", str(tmp_path / "iy"), "-k", "21"], spark)
     with pytest.raises(ValueError, match="another index"):
         cli.main(["decode", str(tmp_path / "out.dat"), "-i", str(tmp_path / "iy"), "-o", str(tmp_path / "fb")], spark)
+    with pytest.raises(ValueError, match="another index"):
+        cli.main(["decode", str(tmp_path / "blocks"), "-i", str(tmp_path / "iy"), "-o", str(tmp_path / "fd"), "--blocks"], spark)
     with pytest.raises(SystemExit):
         cli.main(["build", "-o", str(tmp_path / "none")], spark)
 
