@@ -137,20 +137,20 @@ def write_blocks(packed: DataFrame, records: int = RECORDS) -> DataFrame:
     return with_block(packed, records).groupBy("block_id").applyInArrow(encode, "block_id long, num_records long, payload binary")
 
 
-def read_blocks(blocks: DataFrame, records: int = RECORDS) -> DataFrame:
-    """(block_id, record_no, tok_no, word) from blocks (block_id, payload)."""
+def read_blocks(blocks: DataFrame, records: int = RECORDS, before: str = "0") -> DataFrame:
+    """(block_id, record_no, tok_no, word) from blocks (block_id, payload); ``before``: an expression, how many records precede block 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, payload, earlier in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = decode_block(payload)
                 first = words >> np.uint64(56) & np.uint64(1) == 1
                 number = np.cumsum(first)
                 starts = np.flatnonzero(first)
                 tok = np.arange(len(words)) - starts[number - 1]
-                yield pa.record_batch([pa.array(np.full(len(words), block)), pa.array(block * records + number), pa.array(tok.astype(np.int32)), pa.array(words.view(np.int64))], names=["block_id", "record_no", "tok_no", "word"])
+                yield pa.record_batch([pa.array(np.full(len(words), block)), pa.array(earlier + number), pa.array(tok.astype(np.int32)), pa.array(words.view(np.int64))], names=["block_id", "record_no", "tok_no", "word"])
 
-    return blocks.select("block_id", "payload").mapInArrow(run, WORDS)
+    return blocks.select("block_id", "payload", F.expr(f"cast(block_id * {records} + {before} as long)").alias("earlier")).mapInArrow(run, WORDS)
 
 
 def zipped_streams(packed: DataFrame, records: int = RECORDS) -> DataFrame:

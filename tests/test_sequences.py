@@ -264,7 +264,7 @@ def test_command_line_round_trip(spark, tmp_path):
 
 
 def test_stream_of_reads(spark, tmp_path):
-    from strandlake.streaming.encode import encode_stream
+    from strandlake.streaming.encode import encode_stream, load_stream
 
     built = index.build(frame(spark, ["ACGTTGCATTGACCA"]), 5)
     (tmp_path / "in").mkdir()
@@ -274,6 +274,10 @@ def test_stream_of_reads(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out"))
     out = decode.decode(blocks.as_tokens(blocks.read_blocks(stored)), built, 5)
     assert [r["seq"] for r in out.orderBy("record_no").collect()] == ["ACGTTG", "TTGACCA"]
+    spark.createDataFrame([("a", "CATTG"), ("c", "")], "name string, seq string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    encode_stream(built, stream, 5, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    both = decode.decode(blocks.as_tokens(load_stream(spark, str(tmp_path / "out"))), built, 5)
+    assert [tuple(r) for r in both.select("record_no", "seq").orderBy("record_no").collect()] == [(1, "ACGTTG"), (2, "TTGACCA"), (3, "CATTG"), (4, "")]
 
 
 def test_index_round_trip_and_fasta(spark, tmp_path):
