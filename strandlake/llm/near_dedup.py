@@ -5,18 +5,18 @@
 2. Representatives that share a band value are tied to the smallest of them (a star, not all pairs), and components of
    these ties are families. Two documents at the threshold share none of the 38 bands of 5 coordinates with a probability
    below 1e-9 at 0.85 and 3e-7 at 0.8.
-3. Members of families with more than one member get their shingle sets in a second pass. In each family all members are
-   compared exactly, by counting shared shingles over postings. A large family is dealt out to tasks by pairs of blocks of
-   members, but for pairs whose sizes rule a link out, and a task returns a spanning forest of the links that it finds, so
-   output stays linear in the members.
+3. Members of families with more than one member get their shingle sets in a second pass. In each family members are
+   compared exactly, by counting shared shingles over postings. A large family is first compared with a few pivots, and is
+   dealt out to tasks by pairs of blocks of members, but for pairs whose sizes rule a link out and those that pivots connect
+   already. A task returns a spanning forest of the links that it finds, so output stays linear in the members.
 4. Components of these links are the groups.
 
 Links: 100 * intersection >= percent * union of the distinct shingles. A document with fewer words than a shingle has is
 one shingle; one without words has none and is linked with nothing, not even its copies.
 
 Cases: a null text has no words. A row with a null doc_id takes part in nothing; its component is null and it is kept.
-Rows that share a doc_id and a text are one document twice; ones with different texts join both texts' groups. An empty
-table gives an empty result. Other columns are ignored.
+Rows that share a doc_id and a text are one document twice; ones with different texts join both texts' groups, but a row
+without words among them is linked with nothing. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BANDS, ROWS = 38, 5
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
 #: Postings that are counted at once.
 POSTINGS = 4_000_000
+#: Members of a class of sizes in a large family that all members of it are compared with first.
+PIVOTS = 4
 #: Up to so many members of families, 8 bytes each, are sent to all executors; more are joined by a shuffle.
 SENT_IDS = 500_000
 
@@ -130,42 +132,74 @@ def size_class(percent: int):
     return F.floor(F.log(size) / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else size.cast("int")
 
 
-def family_links(members: DataFrame, percent: int, sent: bool = False) -> DataFrame:
-    """(a, b): links that connect what is connected in each family; members: (node, family, shingles).
-
-    A family of one block is compared whole. A larger one is cut by classes of sizes, a class into blocks; a pair of blocks
-    of one class or of neighbouring classes is one task, all other pairs are too unlike in size to link.
-    ``sent``: the families are so few that their sizes go to all executors, and no family's members meet before they are dealt out.
-    """
-    needed = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-    classed = members.withColumn("class", size_class(percent))
-    sizes = classed.groupBy("family", "class").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("size"))
-    total = sizes.groupBy("family").agg(needed(F.sum("n"), F.sum("size")).alias("whole"), F.map_from_entries(F.collect_list(F.struct("class", needed(F.col("n"), F.col("size"))))).alias("blocks"))
-    small_side = F.broadcast if sent else lambda df: df
-    at = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
-    alone = F.col("whole") == 1
-    known = classed.join(small_side(total), "family").withColumn("class", F.when(alone, 0).otherwise(F.col("class")))
-    known = known.withColumn("own", F.when(alone, 1).otherwise(at(F.col("class"))))
-    placed = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
-    # Each member goes to the tasks of its block with every block of its class and the two beside it; a pair of blocks is one task, in one order.
-    cell = lambda c, i: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i"))
-    cells = lambda c, n: F.transform(F.sequence(F.lit(1), n), lambda i: cell(c, i - 1))
-    beside = lambda c: F.when(~alone & (at(c) > 0), cells(c, at(c)))
-    none = F.array().cast("array<struct<c:int,i:int>>")
-    others = F.concat(cells(F.col("class"), F.col("own")), *(F.coalesce(beside(F.col("class") + step), none) for step in (-1, 1)))
-    pairs = placed.select("family", "node", "shingles", cell(F.col("class"), F.col("block")).alias("block"), F.explode(others).alias("other"))
-    dealt = pairs.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "shingles")
+def verified(dealt: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """(a, b): links of the rows marked ``left`` with those marked ``right`` in each group; dealt: (keys, node, shingles, left, right)."""
 
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
         sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table.column("shingles")]
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        block = table.column("block").to_pylist()
-        left, right = (np.flatnonzero([b == side for b in block]) for side in (x, y))
+        left, right = (np.flatnonzero(table.column(side).to_pylist()) for side in ("left", "right"))
         found = linked(ids, sets, left, right, percent) if len(left) and len(right) else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("family", "x", "y").applyInArrow(verify, "a long, b long")
+    return dealt.groupBy(*keys).applyInArrow(verify, "a long, b long")
+
+
+def pivots(members: DataFrame, bands: DataFrame, small_side) -> DataFrame:
+    """(family, class, node): of each of PIVOTS hash shares of a class the member whose bands agree most with the class's commonest."""
+    banded = members.select("family", "class", "node").join(bands, "node")
+    counts = banded.select("family", "class", F.posexplode("bands").alias("band", "value")).groupBy("family", "class", "band", "value").count()
+    common = counts.groupBy("family", "class", "band").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
+    modes = common.groupBy("family", "class").agg(F.sort_array(F.collect_list(F.struct("band", "value")))["value"].alias("modes"))
+    agreed = F.size(F.filter(F.zip_with("bands", "modes", lambda x, y: x == y), lambda same: same))
+    share = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("share")
+    best = banded.join(small_side(modes), ["family", "class"]).groupBy("family", "class", share).agg(F.max_by("node", F.struct(agreed, "node")).alias("node"))
+    return best.select("family", "class", "node")
+
+
+def family_links(members: DataFrame, bands: DataFrame, percent: int, sent: bool = False) -> DataFrame:
+    """(a, b): links that connect what is connected in each family; members: (node, family, shingles), bands: (node, bands).
+
+    A family of one block is compared whole. A larger one is cut by classes of sizes; sets of classes that are not the same
+    or neighbours are too unlike in size to link. Its members are first compared with a few pivots of these classes. Members
+    that links to pivots connect are one cluster already and need not meet each other: after that, clusters and what is left
+    are cut into blocks, and a pair of blocks of like sizes is one task unless both are of one cluster.
+    ``sent``: the families are so few that their sizes go to all executors, and no family's members meet before they are dealt out.
+    """
+    needed = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    small_side = F.broadcast if sent else lambda df: df
+    # A doc_id with several texts may have one without words, which is linked with nothing.
+    members = members.where(F.length("shingles") > 0)
+    sizes = members.groupBy("family").agg(needed(F.count("*"), F.sum(F.length("shingles"))).alias("whole"))
+    large = cut(sizes.where("whole > 1").select("family"))
+    inside = members.join(small_side(large), "family", "left_anti").withColumns({"left": F.lit(True), "right": F.lit(True)})
+    links = verified(inside, percent, "family")
+    if large.isEmpty():
+        return links
+    members = members.join(small_side(large), "family", "left_semi").withColumn("class", size_class(percent))
+    weight = needed(F.count("*"), F.sum(F.length("shingles")))
+    blocks = cut(members.groupBy("family", "class").agg(weight.alias("n")))
+    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block")
+    own = members.join(small_side(blocks), ["family", "class"]).select("family", "class", block, "node", "shingles", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    chosen = members.join(small_side(pivots(members, bands, small_side)), ["family", "class", "node"], "left_semi")
+    beside = chosen.select("family", F.explode(F.array(*(F.col("class") + step for step in (-1, 0, 1)))).alias("class"), "node", "shingles")
+    everywhere = beside.join(small_side(blocks), ["family", "class"]).select("family", "class", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "node", "shingles", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    near = cut(verified(own.unionAll(everywhere), percent, "family", "class", "block"))
+    clusters = components(near).select("node", F.col("root").alias("cluster"))
+    tagged = members.join(small_side(clusters), "node", "left")
+    cells = tagged.groupBy("family", "class", "cluster").agg(weight.alias("n"))
+    known = cells.groupBy("family").agg(F.collect_list(F.struct("class", "cluster", "n")).alias("cells"))
+    placed = tagged.join(small_side(known), "family")
+    mine = lambda x: (x["class"] == F.col("class")) & x["cluster"].eqNullSafe(F.col("cluster"))
+    cell = lambda x, i: F.struct(x["class"].alias("class"), x["cluster"].alias("cluster"), i.cast("int").alias("i"))
+    meets = lambda x: (F.abs(x["class"] - F.col("class")) <= 1) & F.coalesce(x["cluster"] != F.col("cluster"), F.lit(True))
+    home = F.filter("cells", mine)[0]
+    others = F.flatten(F.transform(F.filter("cells", meets), lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: cell(x, i - 1))))
+    pairs = placed.select("family", "node", "shingles", cell(home, F.pmod(F.xxhash64("node"), home["n"])).alias("cell"), F.explode(others).alias("other"))
+    # Each member goes to the tasks of its block with every other block that it may link to; a pair of blocks is one task, in one order.
+    x, y = F.least("cell", "other"), F.greatest("cell", "other")
+    dealt = pairs.select("family", x.alias("x"), y.alias("y"), "node", "shingles", (F.col("cell") == x).alias("left"), (F.col("cell") == y).alias("right"))
+    return links.unionAll(near).unionAll(verified(dealt, percent, "family", "x", "y"))
 
 
 def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -183,8 +217,10 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     chosen = families if n > SENT_IDS else F.broadcast(families)
     # A doc_id may stand for several texts; all of them are compared under it.
     sets = shingled(docs.join(chosen.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size)
-    members = sets.select(F.col("doc_id").alias("node"), "shingles").join(chosen, "node").select("node", "family", "shingles")
-    found = components(family_links(members, percent, sent=n <= SENT_IDS))
+    members = cut(sets.select(F.col("doc_id").alias("node"), "shingles").join(chosen, "node").select("node", "family", "shingles"))
+    # A node that several texts share has one of their lists of bands; that only bears on which members are pivots.
+    bands = copies.groupBy("node").agg(F.first("bands").alias("bands"))
+    found = components(family_links(members, bands, percent, sent=n <= SENT_IDS))
     roots = copies.select("copy", "node").join(found, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("copy")).alias("copy")).join(roots, "copy", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -99,13 +99,36 @@ def test_size_classes_keep_links_at_the_bound(spark, percent):
     sets = near_dedup.shingled(docs, 5).selectExpr("doc_id as node", "0L as family", "shingles")
     old, near_dedup.BLOCK = near_dedup.BLOCK, 3
     try:
-        links = near_dedup.family_links(sets, percent).collect()
+        bands = near_dedup.signed(docs, 5).selectExpr("doc_id as node", "bands")
+        links = near_dedup.family_links(sets, bands, percent).collect()
     finally:
         near_dedup.BLOCK = old
     roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {d: roots.get(d, d) for d, _ in rows} == {d: c for d, _, c, _ in plain_groups(rows, percent)}
 
 
+def test_members_that_a_pivot_connects_do_not_meet_again(spark):
+    """A family of copies around one text, and some that only a chain connects; a doc_id with a second, empty text."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:100], f"x{i}", *base[101:]])) for i in range(60)]
+    rows += [(100 + i, " ".join([*(f"y{j}" for j in range(4 * i)), *base[4 * i :]])) for i in range(30)]
+    rows += [(7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.shingled(docs, 5).selectExpr("doc_id as node", "0L as family", "shingles")
+    bands = near_dedup.signed(docs, 5).where("bands is not null").selectExpr("doc_id as node", "bands")
+    old, near_dedup.BLOCK = near_dedup.BLOCK, 9
+    try:
+        links = near_dedup.family_links(sets, bands, 85).collect()
+        got = Counter(map(tuple, near_dedup.groups(docs, 85).collect()))
+    finally:
+        near_dedup.BLOCK = old
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    plain = plain_groups(rows, 85)
+    assert {d: roots.get(d, d) for d, _ in rows} == {d: c for d, n, c, _ in plain if n}
+    empty = Counter({(7, 0, 0, False): 2})  # the plain version's, which has one component for all rows of a doc_id
+    assert got == plain - empty + Counter({(7, 0, 7, True): 2})
+
+
 def test_distinct_documents(awkward, awkward_rows, nothing):
     out = near_dedup.distinct(awkward, 80)
     assert out.columns == awkward.columns
